@@ -1 +1 @@
-
+"""No operator of this library is a streaming one; batches are DataFrames throughout."""
