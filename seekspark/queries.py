@@ -218,10 +218,10 @@ def block_vector_topk(s: SparkSession, d: str) -> DataFrame:
 _L2 = "-list_sum(list_transform(list_zip(a.vector::DOUBLE[], b.vector::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 
 
-@query(f"WITH {_VECS}, {_dense_sql(10, _FEW, 'dense', _L2)} SELECT query_id, doc_id, round(score, 9) AS score, rank FROM dense")
+@query(f"WITH {_VECS}, {_dense_sql(10, _FEW, 'dense', _L2)} SELECT query_id, doc_id, round(score, 9) + 0.0 AS score, rank FROM dense")
 def vector_l2_topk(s: SparkSession, d: str) -> DataFrame:
     run = vector.exact_topk(S.vectors(s, d), vector_queries(s, d), 10, lambda a, b: -V.squared_l2(a, b))
-    return run.withColumn("score", F.round("score", 9))
+    return run.withColumn("score", F.round("score", 9) + 0.0)
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
@@ -306,10 +306,10 @@ _BBQ = f"""WITH {_coarse_sql()}, {_CUTS}, {_PROBES},
     pairs AS (SELECT query_id, doc_id, b.vector, a.vector AS q, probe, bit_count(xor(w0, q0)) + bit_count(xor(w1, q1)) AS bits FROM wanted a JOIN coded b USING (list_id))"""
 
 
-@query(f"""{_BBQ} SELECT query_id, doc_id, -CAST(bits AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY bits, probe, doc_id) AS rank
+@query(f"""{_BBQ} SELECT query_id, doc_id, -CAST(bits AS DOUBLE) + 0.0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY bits, probe, doc_id) AS rank
     FROM pairs QUALIFY rank <= 10""")
 def bbq_hamming(s: SparkSession, d: str) -> DataFrame:
-    return lists_of_codes(s, d).search(vector_queries(s, d), 10, NPROBE, rescore=False)
+    return lists_of_codes(s, d).search(vector_queries(s, d), 10, NPROBE, rescore=False).withColumn("score", F.col("score") + 0.0)
 
 
 @query(f"""{_BBQ}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bits, probe, doc_id) AS r FROM pairs QUALIFY r <= 40),
