@@ -6,33 +6,36 @@ every gap equally common, so that what comes next finds a bin that it fills.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekspark.llm.common import shuffle_partitions
 
 #: Documents whose pieces are packed together (on average).
 GROUP = 8192
-#: Words of which a task remembers the ids.
-REMEMBERED = 1_000_000
-#: How a byte-level BPE of this kind cuts a text into words (fixed value).
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words of which a worker remembers the ids.
+REMEMBERED = 200_000
+#: How a byte-level BPE of this kind cuts a text into words (fixed value), for the characters of COMMON.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: Texts of other characters go to the tokenizer whole, whose character classes may be of another Unicode version.
-COMMON = r"[\t\n\r\x20-\x7E\xA0-ɏ‐-‧]*"
+COMMON = r"[\t\n\r\x20-\x7E\xA0-\xB1\xB4-\xB8\xBA\xBB\xBF-\u024F\u2010-\u2027]*"
+#: Words that are encoded in one text.
+TOGETHER = 500
 
 
 class TokenIds:
     """Texts to ids, as the library gives them, remembering the ids of words.
 
     The words of a byte-level BPE are encoded independently of each other, so a text's ids are its words' ids in
-    turn. Texts that hold a special token's string are ordinary text throughout.
+    turn. New words that are a space and letters are encoded many in a text, which the tokenizer cuts just so;
+    this costs a fraction of a call each. The strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -40,22 +43,41 @@ class TokenIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words, self.common = regex.compile(WORDS), regex.compile(COMMON)
+        self.words, self.common = re.compile(WORDS), re.compile(COMMON)
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        other = [w for w in new if not (w[0] == " " and w[1:].isalpha())]
+        for at in range(0, len(plain), TOGETHER):
+            own = plain[at : at + TOGETHER]
+            e = self.tokenizer.encode("".join(own), add_special_tokens=False)
+            ids, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
+            if of[-1] + 1 != len(own):
+                other += own
+                continue
+            ends = (4 * np.searchsorted(of, np.arange(len(own)), side="right")).tolist()
+            self.known.update(zip(own, (ids[a:b] for a, b in zip([0, *ends], ends))))
+        self.known.update(zip(other, self._library(other)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
         cut = [self.words.findall(t) if self.common.fullmatch(t) else None for t in texts]
-        new = list({w for words in cut if words for w in words if w not in known})
-        known.update(zip(new, self._library(new)))
+        self._learn(list({w for words in cut if words for w in words if w not in self.known}))
         other = iter(self._library([t for t, words in zip(texts, cut) if words is None]))
-        return [next(other) if words is None else b"".join(map(known.__getitem__, words)) for words in cut]
+        get = self.known.__getitem__
+        return [next(other) if words is None else b"".join(map(get, words)) for words in cut]
+
+
+@lru_cache(maxsize=2)
+def token_ids(path: str) -> TokenIds:
+    """One a worker, not one a task."""
+    return TokenIds(path)
 
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -74,7 +96,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, text: str =
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = TokenIds(tokenizer)
+        ids = token_ids(tokenizer)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
