@@ -140,21 +140,23 @@ def dedup_lines(
     A line's key is the line without blanks at its ends, A-Z lower-cased. A key of at least ``min_chars`` code
     points that at least ``min_docs`` documents hold loses all its lines except in the largest doc_id holding it.
     All other lines stay, in order. A null or empty text is one empty line. Rows that repeat a doc_id count as one
-    document; rows without a doc_id count for nothing and stay whole. Other columns pass through. Hash keys have
+    document; rows without a doc_id count for nothing and stay whole. Other columns pass through, whatever
+    their names (but kept_text, n_lines and n_dropped). Hash keys have
     128 bits. A text's dropped keys are at most its own lines, so no group grows beyond a text.
     """
     losing = dropped_keys(docs, min_chars, min_docs, batches, fanout)
-    both = docs.join(losing.withColumnRenamed("doc_id", "_of").hint("shuffle_hash"), F.col("doc_id") == F.col("_of"), "left")
-    text, dropped = text_or_empty(), F.col("dropped")
+    mine = losing.select(F.col("doc_id").alias("__of"), F.col("dropped").alias("__dropped")).hint("shuffle_hash")
+    both = docs.join(mine, docs["doc_id"] == F.col("__of"), "left")
+    text, dropped = text_or_empty(), F.col("__dropped")
     keys = line_keys(text, min_chars)
     stays = F.transform(keys, lambda k: k.isNull() | ~F.array_contains(dropped, k))
     lines = split_lines(text)
     kept = F.filter(F.arrays_zip(lines.alias("line"), stays.alias("stays")), lambda x: x["stays"])
-    cut = both.withColumn("_kept", F.when(dropped.isNotNull(), F.transform(kept, lambda x: x["line"])))
+    cut = both.withColumn("__kept", F.when(dropped.isNotNull(), F.transform(kept, lambda x: x["line"])))
     n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     return cut.select(
         *[docs[c] for c in docs.columns],
-        F.coalesce(F.array_join("_kept", "\n"), text).alias("kept_text"),
+        F.coalesce(F.array_join("__kept", "\n"), text).alias("kept_text"),
         n_lines.alias("n_lines"),
-        F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(n_lines - F.size("_kept")).cast("long").alias("n_dropped"),
+        F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(n_lines - F.size("__kept")).cast("long").alias("n_dropped"),
     )
