@@ -6,7 +6,9 @@ every gap equally common, so that what comes next finds a bin that it fills.
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,49 +28,46 @@ REMEMBERED = 200_000
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 #: Texts of other characters go to the tokenizer whole, whose character classes may be of another Unicode version.
 COMMON = r"[\t\n\r\x20-\x7E\xA0-\xB1\xB4-\xB8\xBA\xBB\xBF-\u024F\u2010-\u2027]*"
-#: Words that are encoded in one text.
-TOGETHER = 500
+#: A character that COMMON has not.
+APART = "\ue000"
 
 
 class TokenIds:
     """Texts to ids, as the library gives them, remembering the ids of words.
 
     The words of a byte-level BPE are encoded independently of each other, so a text's ids are its words' ids in
-    turn. New words that are a space and letters are encoded many in a text, which the tokenizer cuts just so;
-    this costs a fraction of a call each. The strings of special tokens in a text are ordinary text.
+    turn. The strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str):
+        # A task has one core; the library's own threads cost more than they give here.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words, self.common = re.compile(WORDS), re.compile(COMMON)
+        # What the tokenizer writes for each character that COMMON has, a letter a byte.
+        common = filter(self.common.fullmatch, map(chr, range(0x2028)))
+        self.bytes = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in common}
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
-        other = [w for w in new if not (w[0] == " " and w[1:].isalpha())]
-        for at in range(0, len(plain), TOGETHER):
-            own = plain[at : at + TOGETHER]
-            e = self.tokenizer.encode("".join(own), add_special_tokens=False)
-            ids, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
-            if of[-1] + 1 != len(own):
-                other += own
-                continue
-            ends = (4 * np.searchsorted(of, np.arange(len(own)), side="right")).tolist()
-            self.known.update(zip(own, (ids[a:b] for a, b in zip([0, *ends], ends))))
-        self.known.update(zip(other, self._library(other)))
+        """Each word's ids from the tokenizer's model, which skips the library's cutting and alignment of texts."""
+        tokens = self.tokenizer.model.tokenize
+        for word, own in zip(new, APART.join(new).translate(self.bytes).split(APART)):
+            ids = [x.id for x in tokens(own)]
+            self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         cut = [self.words.findall(t) if self.common.fullmatch(t) else None for t in texts]
-        self._learn(list({w for words in cut if words for w in words if w not in self.known}))
+        self._learn(list(set().union(*filter(None, cut)).difference(self.known)))
         other = iter(self._library([t for t, words in zip(texts, cut) if words is None]))
         get = self.known.__getitem__
         return [next(other) if words is None else b"".join(map(get, words)) for words in cut]
