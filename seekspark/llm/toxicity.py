@@ -84,6 +84,19 @@ class Chain:
     #: Out-of-fold probabilities of the training rows, by category, and the labels.
     held_out: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
+    def threshold(self, name: str) -> float:
+        """The cut, in twentieths, of the best F1 on the out-of-fold probabilities; of equals the nearest to 0.5.
+
+        0.5 where nothing was held out, or no row has the category.
+        """
+        p, y = self.held_out.get(name, (np.zeros(0), np.zeros(0)))
+        if not (y == 1).any():
+            return 0.5
+        cuts = np.arange(2, 19) / 20
+        over = p[:, None] >= cuts
+        f1 = 2 * (over & (y == 1)[:, None]).sum(axis=0) / (over.sum(axis=0) + (y == 1).sum())
+        return float(cuts[np.lexsort((cuts, np.abs(cuts - 0.5), -f1))[0]])
+
     def probabilities(self, texts: list[str]) -> np.ndarray:
         """(texts, categories)."""
         h, of, style = features(texts)
@@ -249,7 +262,11 @@ def labelled_chain(docs: DataFrame, labels: DataFrame) -> Chain:
     return fit(docs, labels, {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with p_low_quality, p_toxic and ``toxic``, 1 where p_toxic is ``threshold`` or more."""
-    scored = score(docs, labelled_chain(docs, labels))
-    return scored.withColumn("toxic", (F.col("p_toxic") >= threshold).cast("int"))
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
+    """``docs`` with p_low_quality, p_toxic and ``toxic``, 1 where p_toxic is ``threshold`` or more.
+
+    None takes the threshold that does best on the out-of-fold probabilities of the labelled rows.
+    """
+    chain = labelled_chain(docs, labels)
+    least = chain.threshold("toxic") if threshold is None else threshold
+    return score(docs, chain).withColumn("toxic", (F.col("p_toxic") >= least).cast("int"))

@@ -284,6 +284,13 @@ def test_toxicity_held_out(spark):
     assert all(np.array_equal(a.weights, b.weights) for a, b in zip(chain.links, again.links))
 
 
+def test_toxicity_threshold():
+    p, y = np.array([0.9, 0.6, 0.33, 0.28, 0.05, 0.01]), np.array([1.0, 1, 1, 0, 0, 0])
+    assert toxicity.Chain(held_out={"toxic": (p, y)}).threshold("toxic") == 0.3
+    assert toxicity.Chain(held_out={"toxic": (p, y * 0)}).threshold("toxic") == 0.5
+    assert toxicity.Chain().threshold("toxic") == 0.5
+
+
 def test_toxicity_odd(spark):
     df = odd_rows(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
