@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekspark.llm import line_runs, mixing, packing, simhash_golay, toxicity
+from seekspark.llm import line_runs, minhash, mixing, packing, toxicity
 from seekspark.llm.common import pin
 
 
@@ -23,8 +23,8 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one of the smallest doc_id."""
-    return simhash_golay.drop_near_duplicates(docs, bits=4, shingle=5)
+    """One document of each group that shares 0.8 or more of its five-word shingles stays, that of the smallest doc_id."""
+    return minhash.drop_similar(docs, least=0.8, shingle=5)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

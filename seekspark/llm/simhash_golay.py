@@ -245,7 +245,11 @@ def drop_near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 5) -> Da
 
     Rows without a doc_id cannot be told apart from their copies and stay.
     """
-    groups = pin(near_duplicates(docs, bits, shingle))
+    return keep_firsts(docs, pin(near_duplicates(docs, bits, shingle)))
+
+
+def keep_firsts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``groups`` (doc_id, component_id), a table, has as their component's smallest."""
     stay = groups.filter("doc_id = component_id")
     repeated = pin(stay.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     stay = stay.join(repeated, "doc_id", "left_anti").select("doc_id").hint("shuffle_hash")
