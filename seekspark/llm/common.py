@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,21 +17,36 @@ HOT_ONE_IN = 1000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``.
+    """This application's folder in the shared one that the session names in ``spark.checkpoint.dir``.
 
-    Where it is unset, a local session gets a temporary folder; a cluster must name one.
+    Where that is unset, a local session gets a temporary folder (the session's setting is left alone); a cluster
+    must name one. The folder goes when the driver ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="seekspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/seekspark-{spark.sparkContext.applicationId}"
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="seekspark-")
+        _folders[app] = f"{base.rstrip('/')}/seekspark-{app}"
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folders[app])
+        system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(target)
+        system.deleteOnExit(target)
+    return _folders[app]
+
+
+_folders: dict[str, str] = {}
+#: Tables made within the scopes that are open, the innermost last.
+_scopes: list[list[str]] = []
 
 
 def table_path(spark: SparkSession) -> str:
-    return f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -47,6 +63,39 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, as a table; the tables that were made on the way go."""
+    _scopes.append([])
+    try:
+        frame = make()
+        path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+        frame.write.parquet(path)
+    finally:
+        made = _scopes.pop()
+    for p in made:
+        remove(spark, p)
+    if _scopes:
+        _scopes[-1].append(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` less the columns that an operator is about to add: its own output takes their place."""
+    taken = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """A name for each of ``names`` that no column of ``df`` bears."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -72,12 +121,12 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
 def prefix_sums(df: DataFrame, group: list[str], chunk: str, order: list[Column], value: Column, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows before each row, by ``group`` in the order (chunk, order).
 
-    ``chunk`` is a column that rises with the wanted order and holds a bounded number of rows a value, so a hot
-    group is spread over many tasks; only the chunks' totals, far fewer than the rows, meet by group.
+    ``chunk`` is a whole number that rises with the wanted order and holds a bounded number of rows a value, so a
+    hot group is spread over many tasks. The chunks' totals are summed in two levels: CHUNKS of them make a chunk
+    of the second, of which a group's task gets a row each (one for CHUNKS x CHUNK rows of the input).
     """
     totals = df.groupBy(*group, chunk).agg(F.sum(value).alias("_total"))
-    w = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*group, chunk, F.coalesce(F.sum("_total").over(w), F.lit(0)).alias("_before"))
+    starts = _chunk_starts(totals, group, chunk)
     inner = Window.partitionBy(*group, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         df.withColumn("_within", F.coalesce(F.sum(value).over(inner), F.lit(0)))
@@ -87,6 +136,21 @@ def prefix_sums(df: DataFrame, group: list[str], chunk: str, order: list[Column]
     )
 
 
+#: Chunks of a level that are one chunk of the next.
+CHUNKS = 4096
+
+
+def _chunk_starts(totals: DataFrame, group: list[str], chunk: str) -> DataFrame:
+    """(group, chunk, _before): what all smaller chunks of the group hold."""
+    w = lambda *by: Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    placed = totals.withColumn("_upper", F.floor(F.col(chunk) / CHUNKS))
+    upper = placed.groupBy(*group, "_upper").agg(F.sum("_total").alias("_sum"))
+    over = Window.partitionBy(*group).orderBy("_upper").rowsBetween(Window.unboundedPreceding, -1)
+    upper = upper.select(*group, "_upper", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_base"))
+    within = placed.withColumn("_in", F.coalesce(F.sum("_total").over(w(*group, "_upper")), F.lit(0)))
+    return within.join(upper, [*group, "_upper"]).select(*group, chunk, (F.col("_base") + F.col("_in")).alias("_before"))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -1,20 +1,33 @@
 """Line dedup over levelled sorted runs of line hashes (DataFrame functions only).
 
-The index is a log-structured merge tree: each batch of lines is merge-anti-joined with the runs, which tells its
-lines that no earlier batch held, and is then added as a sorted run of level 0. When a level has ``fanout`` runs
-they are compacted into one run of the next level, so a batch meets few runs and each key is rewritten
-O(log batches) times. A run has one row a key: how many documents hold it and the largest doc_id that does.
+The index is a log-structured merge tree of runs: tables in buckets of the key's hash, sorted by key in each, so
+that runs meet in merge joins and none is shuffled again. Each batch of lines is counted by key and
+merge-anti-joined with the runs. The keys that no run holds become a new run of level 0, so every key is in one run
+only; for the others, the batch's counts are kept beside the runs as raises. When a level has ``fanout`` runs they
+are merged into one run of the next level, so a batch meets few runs and each key is rewritten O(log batches) times.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekspark.llm.common import pin, remove, shuffle_partitions, skew_join, table_path, text_or_empty, union_all
+from seekspark.llm.common import (
+    HOT_ONE_IN,
+    free_names,
+    pin,
+    remove,
+    settled,
+    shuffle_partitions,
+    table_path,
+    text_or_empty,
+    union_all,
+    without,
+)
 
 KEY = ["h1", "h2"]
-RUN_SCHEMA = "h1 long, h2 long, n_docs long, last_doc long"
 #: Stripped from both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -46,77 +59,103 @@ def line_keys(text: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """The runs of one index. ``fanout``: runs of a level that are compacted into one of the next."""
-
-    def __init__(self, spark: SparkSession, fanout: int = 2):
-        self.spark, self.fanout = spark, fanout
-        self.levels: list[list[str]] = []
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return union_all([self.spark.read.schema(RUN_SCHEMA).parquet(p) for p in paths])
-
-    def _write(self, rows: DataFrame) -> str:
-        path = table_path(self.spark)
-        rows.sortWithinPartitions(*KEY).write.parquet(path)
-        return path
+    """The runs of one index: rows (h1, h2, n_docs, last_doc), every key in one run.
 
-    def paths(self) -> list[str]:
-        return [p for level in self.levels for p in level]
+    ``fanout``: runs of a level that are merged into one of the next. ``buckets``: of each run, and tasks that merge.
+    """
 
-    def unseen(self, batch: DataFrame) -> DataFrame:
-        """The rows of ``batch`` whose key no run holds: a merge join with every run in turn."""
-        for path in self.paths():
-            batch = batch.join(self._read([path]).select(*KEY).hint("merge"), KEY, "left_anti")
-        return batch
+    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
+        self.spark, self.fanout, self.buckets = spark, fanout, buckets or shuffle_partitions(spark)
+        self.levels: list[list[str]] = []
+        #: Counts of batches for keys that were in a run before.
+        self.raises: list[str] = []
+        self._paths: dict[str, str] = {}
+
+    def _store(self, rows: DataFrame) -> str:
+        """A table of rows in buckets by key, sorted in each. Rows come from a shuffle or a merge by key, so a
+        bucket is one file."""
+        name, path = f"line_run_{uuid.uuid4().hex}", table_path(self.spark)
+        rows.write.option("path", path).format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+        self._paths[name] = path
+        return name
+
+    def _drop(self, *names: str) -> None:
+        for n in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {n}")
+            remove(self.spark, self._paths.pop(n))
+
+    def runs(self) -> list[str]:
+        return [r for level in self.levels for r in level]
+
+    def unseen(self, counted: DataFrame) -> DataFrame:
+        """The rows of ``counted`` whose key no run holds: a merge-anti-join with every run in turn."""
+        for run in self.runs():
+            counted = counted.join(self.spark.table(run).select(*KEY).hint("merge"), KEY, "left_anti")
+        return counted
 
     def add(self, batch: DataFrame) -> None:
-        """Add a batch's rows (h1, h2, doc_id) as a run. A document must not be spread over batches."""
-        own = batch.groupBy(*KEY, "doc_id").agg(F.lit(1).alias("one"))
-        run = own.groupBy(*KEY).agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        self._place(self._write(run), 0)
-
-    def _place(self, path: str, level: int) -> None:
+        """Add a batch's rows (h1, h2, doc_id). A document must not be spread over batches."""
+        once = batch.groupBy(*KEY, "doc_id").agg(F.lit(1).alias("one"))
+        own = self._store(once.groupBy(*KEY).agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("last_doc")))
+        if not self.runs():
+            self._place(own, 0)
+            return
+        counted = self.spark.table(own)
+        fresh = self._store(self.unseen(counted))
+        known = counted.join(self.spark.table(fresh).select(*KEY).hint("merge"), KEY, "left_anti")
+        self.raises.append(self._store(known))
+        self._drop(own)
+        self._place(fresh, 0)
+
+    def _place(self, run: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._place(self._write(self.merged(old)), level + 1)
-            for p in old:
-                remove(self.spark, p)
-
-    def merged(self, paths: list[str] | None = None) -> DataFrame:
-        """One row a key over the given runs, or all."""
-        paths = self.paths() if paths is None else paths
-        if not paths:
-            return self.spark.createDataFrame([], RUN_SCHEMA)
-        return self._read(paths).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+            merged = self.spark.table(old[0])
+            for other in old[1:]:
+                merged = _merged(merged, self.spark.table(other))
+            merged = self._store(merged)
+            self._drop(*old)
+            self._place(merged, level + 1)
+
+    def totals(self) -> DataFrame:
+        """One row a key: every run's counts and what later batches raised them by."""
+        parts = [self.spark.table(r) for r in self.runs()]
+        if not parts:
+            return self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, last_doc long")
+        if not self.raises:
+            return union_all(parts)
+        more = union_all([self.spark.table(r) for r in self.raises])
+        more = more.groupBy(*KEY).agg(F.sum("n_docs").alias("_n"), F.max("last_doc").alias("_last")).hint("merge")
+        raised = [p.join(more, KEY, "left") for p in parts]
+        n_docs, last = F.col("n_docs") + F.coalesce("_n", F.lit(0)), F.greatest("last_doc", "_last")
+        return union_all(raised).select(*KEY, n_docs.alias("n_docs"), last.alias("last_doc"))
+
+    def close(self) -> None:
+        self._drop(*self._paths.copy())
+
+
+def _merged(run: DataFrame, other: DataFrame) -> DataFrame:
+    """Two runs in one: an outer merge join, in which no key has two rows."""
+    a, b = run.alias("a"), other.alias("b").hint("merge")
+    both = a.join(b, (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")), "full")
+    return both.select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in [*KEY, "n_docs", "last_doc"]])
 
 
 def key_rows(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, h1, h2) of each line whose key is long enough."""
+    """(doc_id, h1, h2) of each different line of a row whose key is long enough."""
+    keys = F.array_distinct(line_keys(F.col("text"), min_chars))
     return (
         docs.filter(F.col("doc_id").isNotNull() & (F.length("text") >= min_chars))
-        .select("doc_id", F.explode(line_keys(F.col("text"), min_chars)).alias("k"))
+        .select("doc_id", F.explode(keys).alias("k"))
         .filter("k is not null")
         .select("doc_id", "k.h1", "k.h2")
     )
 
 
-def keep_first_batches(batches: list[DataFrame], min_chars: int = 40, fanout: int = 2) -> list[DataFrame]:
-    """The streaming form: for each batch of documents, the (doc_id, h1, h2) that no earlier batch held."""
-    out: list[DataFrame] = []
-    runs: LineRuns | None = None
-    for docs in batches:
-        runs = runs or LineRuns(docs.sparkSession, fanout)
-        rows = pin(key_rows(docs, min_chars).distinct())
-        out.append(pin(runs.unseen(rows)))
-        runs.add(rows)
-    return out
-
-
-def dropped_keys(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
-    """(doc_id, dropped): the keys, as an array of structs, that each document loses; only documents that lose any."""
+def _dropped_keys(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
     spark = docs.sparkSession
     path = table_path(spark)
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
@@ -125,38 +164,50 @@ def dropped_keys(docs: DataFrame, min_chars: int, min_docs: int, batches: int, f
     runs = LineRuns(spark, fanout)
     for i in range(batches):
         runs.add(lines.filter(F.col("batch") == i).drop("batch"))
-    common = pin(runs.merged().filter(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"))
-    losing = (
-        skew_join(lines.drop("batch"), common, KEY, "inner").filter(F.col("doc_id") < F.col("last_doc")).drop("last_doc")
-    )
+    common = pin(runs.totals().filter(F.col("n_docs") >= min_docs))
+    runs.close()
+    # Keys of a thousandth of all lines or more are at most HOT_ONE_IN; their lines stay where they are.
+    hot = F.col("n_docs") >= max(1000, lines.count() // HOT_ONE_IN + 1)
+    rest = lines.drop("batch")
+    few = F.broadcast(common.filter(hot).select(*KEY, "last_doc"))
+    other = rest.join(few.select(*KEY), KEY, "left_anti").join(common.filter(~hot).select(*KEY, "last_doc"), KEY)
+    losing = rest.join(few, KEY).unionByName(other).filter(F.col("doc_id") < F.col("last_doc"))
     return losing.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("dropped"))
 
 
+def dropped_keys(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
+    """(doc_id, dropped): the keys, as an array of structs, that each document loses; only documents that lose any."""
+    return settled(docs.sparkSession, lambda: _dropped_keys(docs, min_chars, min_docs, batches, fanout))
+
+
 def dedup_lines(
-    docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2
+    docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 3, fanout: int = 2
 ) -> DataFrame:
     """Add to ``docs``: kept_text, n_lines (before dropping) and n_dropped.
 
     A line's key is the line without blanks at its ends, A-Z lower-cased. A key of at least ``min_chars`` code
     points that at least ``min_docs`` documents hold loses all its lines except in the largest doc_id holding it.
     All other lines stay, in order. A null or empty text is one empty line. Rows that repeat a doc_id count as one
-    document; rows without a doc_id count for nothing and stay whole. Other columns pass through, whatever
-    their names (but kept_text, n_lines and n_dropped). Hash keys have
-    128 bits. A text's dropped keys are at most its own lines, so no group grows beyond a text.
+    document; rows without a doc_id count for nothing and stay whole. An empty table gives no rows. Other columns
+    pass through, whatever their names; columns named like the added ones are replaced. Hash keys have 128 bits. A
+    text's dropped keys are at most its own lines, so no group grows beyond a text; texts of any length are read
+    whole, each by one task.
     """
+    docs = without(docs, "kept_text", "n_lines", "n_dropped")
     losing = dropped_keys(docs, min_chars, min_docs, batches, fanout)
-    mine = losing.select(F.col("doc_id").alias("__of"), F.col("dropped").alias("__dropped")).hint("shuffle_hash")
-    both = docs.join(mine, docs["doc_id"] == F.col("__of"), "left")
-    text, dropped = text_or_empty(), F.col("__dropped")
+    of, gone, left = free_names(docs, "of", "gone", "left")
+    mine = losing.select(F.col("doc_id").alias(of), F.col("dropped").alias(gone)).hint("shuffle_hash")
+    both = docs.join(mine, F.col("doc_id") == F.col(of), "left")
+    text, dropped = text_or_empty(), F.col(gone)
     keys = line_keys(text, min_chars)
     stays = F.transform(keys, lambda k: k.isNull() | ~F.array_contains(dropped, k))
     lines = split_lines(text)
     kept = F.filter(F.arrays_zip(lines.alias("line"), stays.alias("stays")), lambda x: x["stays"])
-    cut = both.withColumn("__kept", F.when(dropped.isNotNull(), F.transform(kept, lambda x: x["line"])))
+    cut = both.withColumn(left, F.when(dropped.isNotNull(), F.transform(kept, lambda x: x["line"])))
     n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     return cut.select(
-        *[docs[c] for c in docs.columns],
-        F.coalesce(F.array_join("__kept", "\n"), text).alias("kept_text"),
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.coalesce(F.array_join(left, "\n"), text).alias("kept_text"),
         n_lines.alias("n_lines"),
-        F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(n_lines - F.size("__kept")).cast("long").alias("n_dropped"),
+        F.when(F.col(left).isNull(), F.lit(0)).otherwise(n_lines - F.size(left)).cast("long").alias("n_dropped"),
     )

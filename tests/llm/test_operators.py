@@ -203,16 +203,41 @@ def test_lines_against_plain(spark):
         assert got[i]["kept_text"] == want and got[i]["n_lines"] == (texts[i] or "").count("\n") + 1
 
 
-def test_runs_are_levelled_and_first_batch_wins(spark):
-    line = "x" * 50
-    batches = [docs_of(spark, [f"{line}{i}", line]) for i in range(3)]
-    fresh = line_runs.keep_first_batches(batches, min_chars=40, fanout=2)
-    assert [f.count() for f in fresh] == [2, 1, 1]
+def test_runs_are_levelled_and_disjoint(spark):
+    runs = line_runs.LineRuns(spark, fanout=2, buckets=3)
+    rows = [[(i, 1, i), (7, 7, i), (7, 7, i), (8, 8, 9 - i)] for i in range(5)]
+    levels = []
+    for batch in rows:
+        runs.add(spark.createDataFrame(batch, "h1 long, h2 long, doc_id long"))
+        levels.append([len(x) for x in runs.levels])
+    assert levels == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1]]
+    keys = [(r["h1"], r["h2"]) for name in runs.runs() for r in spark.table(name).collect()]
+    assert len(keys) == len(set(keys)) == 7
+    assert "SortMergeJoin" in runs.unseen(spark.table(runs.runs()[0]))._jdf.queryExecution().toString()
+    got = {(r["h1"], r["h2"]): (r["n_docs"], r["last_doc"]) for r in runs.totals().collect()}
+    assert got == {**{(i, 1): (1, i) for i in range(5)}, (7, 7): (5, 4), (8, 8): (5, 9)}
+    runs.close()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_lines_go_through_the_runs(spark, monkeypatch):
+    calls = []
+    unseen = line_runs.LineRuns.unseen
+    monkeypatch.setattr(line_runs.LineRuns, "unseen", lambda self, rows: calls.append(len(self.runs())) or unseen(self, rows))
+    docs = docs_of(spark, ["x" * 50 + f"\n{'y' * 40}{i % 4}" for i in range(40)])
+    got = line_runs.dedup_lines(docs, batches=5, fanout=2)
+    assert calls == [1, 1, 2, 1]
+    want = plain_line_dedup([r["text"] for r in docs.collect()], 40, 5)
+    assert [r["kept_text"] for r in got.orderBy("doc_id").collect()] == want
 
 
 def test_lines_odd_rows(spark):
     df = odd_rows(spark)
-    got = line_runs.dedup_lines(df.withColumn("dropped", F.lit(1)).withColumn("h1", F.lit(2)), 40, 2)
+    extra = ["dropped", "h1", "of", "gone", "left", "__of", "kept_text", "N_LINES", "n_dropped", "a.b"]
+    for name in extra:
+        df = df.withColumn(name, F.lit(1))
+    got = line_runs.dedup_lines(df, 40, 2)
+    assert got.columns == [*[c for c in df.columns if c.lower() not in ("kept_text", "n_lines", "n_dropped")], "kept_text", "n_lines", "n_dropped"]
     assert got.count() == df.count() and got.filter("n_lines < 1").count() == 0
     assert line_runs.dedup_lines(df.limit(0)).count() == 0
 
