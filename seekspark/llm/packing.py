@@ -18,7 +18,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from seekspark.llm.common import free_names, pin, without
 
 #: Documents whose pieces are packed together (on average).
 GROUP = 8192
@@ -36,7 +38,7 @@ class TokenIds:
     """Texts to ids, as the library gives them, remembering the ids of words.
 
     The words of a byte-level BPE are encoded independently of each other, so a text's ids are its words' ids in
-    turn. The strings of special tokens in a text are ordinary text.
+    turn. Texts that hold the string of an added token, which the library cuts out first, go to it whole.
     """
 
     def __init__(self, path: str):
@@ -45,8 +47,9 @@ class TokenIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.words, self.common = re.compile(WORDS), re.compile(COMMON)
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
         # What the tokenizer writes for each character that COMMON has, a letter a byte.
         common = filter(self.common.fullmatch, map(chr, range(0x2028)))
         self.bytes = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in common}
@@ -66,7 +69,8 @@ class TokenIds:
         """Each text's ids as little-endian 32-bit numbers."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        cut = [self.words.findall(t) if self.common.fullmatch(t) else None for t in texts]
+        plain = lambda t: self.common.fullmatch(t) and not self.added.search(t)
+        cut = [self.words.findall(t) if plain(t) else None for t in texts]
         self._learn(list(set().union(*filter(None, cut)).difference(self.known)))
         other = iter(self._library([t for t, words in zip(texts, cut) if words is None]))
         get = self.known.__getitem__
@@ -80,16 +84,16 @@ def token_ids(path: str) -> TokenIds:
 
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
+PIECE_NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, text: str = "text") -> DataFrame:
     """The pieces of each text's ids and ``end_id`` after them: a row a piece, beside all columns but the text.
 
     A text of at most ``size`` ids is one piece. A longer one is cut into pieces of ``size`` ids, of which the
-    first may be shorter.
+    first may be shorter. Input columns named like those of a piece are replaced.
     """
-    from pyspark.sql import types as T
-
+    docs = without(docs, *PIECE_NAMES)
     other = [f for f in docs.schema.fields if f.name != text]
     schema = T.StructType([*other, *T.StructType.fromDDL(PIECES).fields])
     end = np.array([end_id], "<u4").tobytes()
@@ -160,26 +164,27 @@ def pack_documents(
 
     Returns the columns of ``docs`` but the text, and piece, start, length, ids_crc32 (see ``pieces``),
     sequence_id and offset, gapless from 0 in each sequence. Null and empty texts are the end id alone. Repeated
-    rows are packed each for itself. An empty table gives no rows.
+    rows are packed each for itself, ids may be null. An empty table gives no rows. Input columns named like an
+    added one are replaced, all others pass through. Texts of any length are encoded whole, each by one task.
 
-    Pieces are dealt at random (by a hash of their ids and place) into groups of about ``group`` documents, each
-    packed for itself; a group loses a fixed number of sequences at most on average, so the loss is a fixed share.
+    Pieces are dealt at random into groups of about ``group`` documents, each packed for itself; a group loses a
+    fixed number of sequences at most on average, so the loss is a fixed share. The deal goes by the piece's place
+    in its partition and the partition's number, so that copies of one row are spread like all others.
     """
-    n = docs.count()
-    groups = max(1, -(-n // group))
-    rows = pieces(docs, tokenizer, end_id, size)
-    key = F.pmod(F.xxhash64("ids_crc32", "piece", "start", "doc_id"), F.lit(groups))
-    from pyspark.sql import types as T
-
+    docs = without(docs, *PIECE_NAMES, "sequence_id", "offset")
+    rows = pin(pieces(docs, tokenizer, end_id, size))
+    groups = max(1, -(-rows.filter("piece = 0").count() // group))
+    name, = free_names(rows, "group")
     schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    keys = [(f.name, "ascending") for f in rows.schema.fields if f.name in ("doc_id", *PIECE_NAMES)]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         # In an order of their own, so that a task that runs again packs alike.
-        keys = [(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")]
-        table = table.sort_by(keys)
+        table = table.drop_columns([name]).sort_by(keys)
         bins, offsets, _ = pack(table.column("length").to_numpy(), size)
         first = np.int64(key[0].as_py()) << np.int64(32)
-        table = table.drop_columns(["_group"])
         return table.append_column("sequence_id", pa.array(bins + first)).append_column("offset", pa.array(offsets))
 
-    return rows.withColumn("_group", key).groupBy("_group").applyInArrow(run, schema)
+    # The pieces are a table, whose scan gives a task that runs again the same rows in the same order.
+    deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))
+    return rows.withColumn(name, deal).groupBy(name).applyInArrow(run, schema)

@@ -72,12 +72,12 @@ def test_perturbations_are_in_order_and_valid():
 
 
 def test_pack_pieces_and_sequences(spark):
-    texts = [" ".join(words(n, n)) for n in (1, 5, 300, 700, 3000, 50, 120, 900)] + [None, "", "日本語 <|endoftext|> x²"]
+    texts = [" ".join(words(n, n)) for n in (1, 5, 300, 700, 3000, 50, 120, 900)] + [None, "", "a<|endoftext|> b <|endoftext|>", "日本語 <|endoftext|> x²"]
     got = packing.pack_documents(docs_of(spark, texts).select("doc_id", "text"), PATH).toPandas()
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    assert 50256 in t.encode(texts[-1], add_special_tokens=False).ids
     for i, text in enumerate(texts):
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
         own = got[got.doc_id == i].sort_values("piece")
@@ -89,6 +89,25 @@ def test_pack_pieces_and_sequences(spark):
         assert list(s.offset) == list(s.length.cumsum() - s.length) and s.length.sum() <= 1024
 
 
+def test_pack_odd_rows(spark):
+    df = odd_rows(spark).drop("lang").withColumnRenamed("n_chars", "group")
+    for name in ("piece", "Start", "length", "offset", "sequence_id", "ids_crc32"):
+        df = df.withColumn(name, F.lit("x"))
+    got = packing.pack_documents(df, PATH, group=3).toPandas()
+    assert list(got.columns) == ["doc_id", "source", "group", *packing.PIECE_NAMES, "sequence_id", "offset"]
+    assert (got.piece == 0).sum() == df.count() and got[got.doc_id == 2].length.sum() > 20000
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert list(s.offset) == list(s.length.cumsum() - s.length) and s.length.sum() <= 1024
+    assert packing.pack_documents(df.limit(0), PATH).count() == 0
+
+
+def test_pack_spreads_copies(spark):
+    df = spark.range(4000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("the same row " * 20).alias("text"))
+    got = packing.pack_documents(df.repartition(3), PATH, group=500)
+    assert max(r["count"] for r in got.groupBy(F.shiftright("sequence_id", 32)).count().collect()) < 800
+
+
 def test_pack_is_tight():
     lengths = np.random.default_rng(1).integers(1, 1024, 3000)
     bins, offsets, n = packing.pack(lengths, 1024)
