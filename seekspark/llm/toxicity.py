@@ -2,13 +2,16 @@
 
 Each category has a logistic model over words and word beginnings (which stand for all endings of a stem), a few
 measures of the text's style and the log-odds of the categories before it. In training those come from models of
-other folds, so a model never learns from a probability that has seen the row's own label.
+other folds. A fold's model takes its features, too, from the counts of the other folds, so a model never learns
+from a probability that has seen the row's own label, and the threshold is set on probabilities that have not.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seekspark.llm import bytehash
-from seekspark.llm.common import pin
+from seekspark.llm.common import pin, union_all, without
 
 #: Labelled rows that the models are fitted on, at most; features of a category, at most; folds.
 SAMPLE, FEATURES, FOLDS = 8000, 1024, 4
@@ -145,15 +148,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 2e-4, rounds: int = 2
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE, seed: int = 5) -> Chain:
     """Fit a chain over ``categories``: name to a 0/1 column of ``labels`` (doc_id, ...), predicted in that order.
 
-    At most ``sample`` labelled rows are used, those whose doc_id hashes lowest; this bound is the only limit, and
-    features are counted over all of them. A category with one label value only gets its rate as a constant. No
-    labelled row: all probabilities are 0.
+    At most ``sample`` labelled ids are used, those that hash lowest, each with one text (the smallest, if rows
+    repeat an id); this bound is the only limit, and features are counted over all of them. Folds go by a hash of
+    the id. A category with one label value only gets its rate as a constant. No labelled row: all probabilities
+    are 0.
     """
     names = list(categories)
     marks = labels.select("doc_id", *[c.cast("double").alias(n) for n, c in categories.items()]).dropna()
     marks = marks.groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names])
     few = pin(marks.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample))
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(few), "doc_id")
+    fold = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(FOLDS)).cast("int")
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,36 +172,46 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sampl
                 m[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
                 parts = np.split(h[m], np.searchsorted(of[m], np.arange(1, s.num_rows)))
                 cells = [s.column(0), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(list(style), pa.list_(pa.float64()))]
-                marks = [s.column(2 + j) for j in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*cells, *marks], ["doc_id", "found", "style", *names])
+                marks = [s.column(2 + j) for j in range(1 + len(names))]
+                yield pa.RecordBatch.from_arrays([*cells, *marks], ["doc_id", "found", "style", "fold", *names])
 
-    schema = "doc_id long, found binary, style array<double>, " + ", ".join(f"`{n}` double" for n in names)
-    table = pin(rows.select("doc_id", "text", *names).mapInArrow(opened, schema))
-    base = table.agg(F.count("*").alias("n"), *[F.sum(n).alias(n) for n in names]).first()
-    if not base["n"]:
+    schema = "doc_id long, found binary, style array<double>, fold int, " + ", ".join(f"`{n}` double" for n in names)
+    table = pin(rows.select("doc_id", "text", fold.alias("fold"), *names).mapInArrow(opened, schema))
+    base = {r["fold"]: r for r in table.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(n).alias(n) for n in names]).collect()}
+    if not base:
         return Chain([Link(n, np.zeros(0, np.uint64), np.zeros(0), np.zeros(STYLE + j), -30.0) for j, n in enumerate(names)])
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 256):
-                s = b.iloc[at : at + 256]
-                own = [np.frombuffer(f, np.uint64) for f in s["found"]]
-                h = np.concatenate(own)
-                known, place = np.unique(h, return_inverse=True)
-                out = {"h": known.view(np.int64), "n": np.bincount(place, minlength=len(known)).astype(float)}
-                for n in names:
-                    out[n] = np.bincount(place, np.repeat(s[n].to_numpy(), [len(x) for x in own]), len(known))
-                yield pd.DataFrame(out)
-
-    kinds = "h long, n double, " + ", ".join(f"`{n}` double" for n in names)
-    counts = table.mapInPandas(counted, kinds).groupBy("h").agg(*[F.sum(c).alias(c) for c in ["n", *names]])
+                for fold, s in b.iloc[at : at + 256].groupby("fold"):
+                    own = [np.frombuffer(f, np.uint64) for f in s["found"]]
+                    known, place = np.unique(np.concatenate(own), return_inverse=True)
+                    out = {"h": known.view(np.int64), "fold": fold, "n": np.bincount(place, minlength=len(known)).astype(float)}
+                    for n in names:
+                        out[n] = np.bincount(place, np.repeat(s[n].to_numpy(), [len(x) for x in own]), len(known))
+                    yield pd.DataFrame(out)
+
+    kinds = "h long, fold int, n double, " + ", ".join(f"`{n}` double" for n in names)
+    cells = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0.0)).alias(f"{c}_{f}") for c in ["n", *names] for f in range(FOLDS)]
+    counts = table.mapInPandas(counted, kinds).groupBy("h").agg(F.sum("n").alias("n"), *cells)
     counts = pin(counts.filter(F.col("n") >= LEAST_ROWS))
-    chosen = {}
-    for n in names:
-        rate = base[n] / base["n"]
-        score = F.abs(F.col(n) - F.col("n") * rate) / F.sqrt(F.col("n") * max(rate * (1 - rate), 1e-9))
-        best = counts.withColumn("score", score).filter(F.col("score") >= LEAST_SCORE).orderBy(F.desc("score"), "h").limit(FEATURES)
-        chosen[n] = np.sort(np.array([r["h"] for r in best.select("h").collect()], np.int64).view(np.uint64))
+
+    def best(name: str, left_out: int | None) -> DataFrame:
+        """The features that tell most about a category in all folds but one (or in all)."""
+        folds = [f for f in range(FOLDS) if f != left_out]
+        total = sum(base[f]["n"] for f in folds if f in base)
+        rate = sum(base[f][name] for f in folds if f in base) / max(total, 1)
+        n, y = (reduce(add, [F.col(f"{c}_{f}") for f in folds]) for c in ("n", name))
+        score = F.abs(y - n * rate) / F.sqrt(n * max(rate * (1 - rate), 1e-9))
+        told = counts.filter(n >= LEAST_ROWS).select("h", score.alias("score")).filter(F.col("score") >= LEAST_SCORE)
+        place = -1 if left_out is None else left_out
+        return told.orderBy(F.desc("score"), "h").limit(FEATURES).select(F.lit(name).alias("name"), F.lit(place).alias("fold"), "h")
+
+    took = union_all([best(n, f) for n in names for f in [*range(FOLDS), None]]).collect()
+    chosen = {(n, f): np.zeros(0, np.uint64) for n in names for f in range(-1, FOLDS)}
+    for key in chosen:
+        chosen[key] = np.sort(np.array([r["h"] for r in took if (r["name"], r["fold"]) == key], np.int64).view(np.uint64))
     every = np.unique(np.concatenate(list(chosen.values())))
 
     def narrowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,45 +219,57 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sampl
             own = [np.flatnonzero(np.isin(every, np.frombuffer(f, np.uint64))).astype(np.int32).tobytes() for f in b["found"]]
             yield b.drop(columns="found").assign(found=own)
 
-    got = table.mapInPandas(narrowed, "doc_id long, style array<double>, " + ", ".join(f"`{n}` double" for n in names) + ", found binary")
-    data = got.orderBy("doc_id").toPandas()
-    return _fit_chain(data, names, chosen, every, seed)
+    got = table.mapInPandas(narrowed, "doc_id long, style array<double>, fold int, " + ", ".join(f"`{n}` double" for n in names) + ", found binary")
+    return _fit_chain(got.orderBy("doc_id").toPandas(), names, chosen, every)
 
 
-def _fit_chain(data: pd.DataFrame, names: list[str], chosen: dict[str, np.ndarray], every: np.ndarray, seed: int) -> Chain:
-    dense = np.zeros((len(data), len(every)), np.float32)
-    for i, f in enumerate(data["found"]):
-        dense[i, np.frombuffer(f, np.int32)] = 1
-    style = np.stack(data["style"].to_numpy()) if len(data) else np.zeros((0, STYLE))
-    fold = np.random.default_rng(seed).permutation(len(data)) % FOLDS
+def _fit_chain(data: pd.DataFrame, names: list[str], chosen: dict[tuple[str, int], np.ndarray], every: np.ndarray) -> Chain:
+    """``chosen``: features by category and the fold that their choice leaves out (-1: none); ``found`` points into ``every``."""
+    own = [np.frombuffer(f, np.int32) for f in data["found"]]
+    of, flat = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
+    style, fold = np.stack(data["style"].to_numpy()), data["fold"].to_numpy()
     chain, earlier = Chain(), np.zeros((len(data), 0))
+
+    def matrix(known: np.ndarray) -> np.ndarray:
+        place = np.full(len(every), -1)
+        place[np.searchsorted(every, known)] = np.arange(len(known))
+        x = np.zeros((len(data), len(known)), np.float32)
+        m = place[flat] >= 0
+        x[of[m], place[flat[m]]] = 1
+        return np.column_stack((x, style, earlier)).astype(np.float32)
+
     for name in names:
         y = data[name].to_numpy()
-        places = np.searchsorted(every, chosen[name])
-        x = np.column_stack((dense[:, places], style, earlier)).astype(np.float32)
+        known = chosen[name, -1]
         rate = float(y.mean())
         if rate in (0.0, 1.0):
-            chain.links.append(Link(name, chosen[name], np.zeros(len(places)), np.zeros(x.shape[1] - len(places)), 30.0 if rate else -30.0))
+            chain.links.append(Link(name, known, np.zeros(len(known)), np.zeros(STYLE + earlier.shape[1]), 30.0 if rate else -30.0))
             z = np.full(len(y), chain.links[-1].bias)
         else:
             z = np.zeros(len(y))
             for f in range(FOLDS):
-                own, out = fold != f, fold == f
-                if own.any() and 0 < y[own].mean() < 1:
-                    w, b = fit_logistic(x[own], y[own])
+                rest, out = fold != f, fold == f
+                if rest.any() and out.any() and 0 < y[rest].mean() < 1:
+                    x = matrix(chosen[name, f])
+                    w, b = fit_logistic(x[rest], y[rest])
                     z[out] = x[out] @ w + b
                 else:
                     z[out] = np.log(rate / (1 - rate))
-            w, b = fit_logistic(x, y)
-            chain.links.append(Link(name, chosen[name], w[: len(places)], w[len(places) :], b))
+            w, b = fit_logistic(matrix(known), y)
+            chain.links.append(Link(name, known, w[: len(known)], w[len(known) :], b))
         chain.held_out[name] = (_sigmoid(z), y)
         earlier = np.column_stack((earlier, np.clip(z, -6, 6) / 6))
     return chain
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
-    """Add ``p_<category>`` for each category. Null and empty texts score like a text without words."""
+    """Add ``p_<category>`` for each category. Null and empty texts score like a text without words.
+
+    Input columns of those names are replaced. Texts are read whole, whatever their length. Rows are scored each
+    for itself, so repeated rows and ids do not matter; an empty table gives no rows.
+    """
     names = [f"p_{link.name}" for link in chain.links]
+    docs = without(docs, *names)
     schema = docs.select("*", *[F.lit(0.0).alias(n) for n in names]).schema
     sent = docs.sparkSession.sparkContext.broadcast(chain)
 
@@ -265,8 +293,9 @@ def labelled_chain(docs: DataFrame, labels: DataFrame) -> Chain:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
     """``docs`` with p_low_quality, p_toxic and ``toxic``, 1 where p_toxic is ``threshold`` or more.
 
-    None takes the threshold that does best on the out-of-fold probabilities of the labelled rows.
+    None takes the threshold that does best on the out-of-fold probabilities of the labelled rows. Input columns
+    of those three names are replaced; for odd rows see ``score`` and ``fit``.
     """
     chain = labelled_chain(docs, labels)
     least = chain.threshold("toxic") if threshold is None else threshold
-    return score(docs, chain).withColumn("toxic", (F.col("p_toxic") >= least).cast("int"))
+    return score(without(docs, "toxic"), chain).withColumn("toxic", (F.col("p_toxic") >= least).cast("int"))

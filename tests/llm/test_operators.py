@@ -335,6 +335,26 @@ def test_toxicity_threshold():
     assert toxicity.Chain().threshold("toxic") == 0.5
 
 
+def test_toxicity_is_out_of_fold(spark):
+    """With labels that mean nothing, held-out probabilities tell nothing."""
+    r = random.Random(8)
+    docs = docs_of(spark, [" ".join(words(60, i, 3000)) for i in range(2000)])
+    labels = spark.createDataFrame([(i, 1, int(r.random() < 0.05)) for i in range(2000)], "doc_id long, quality int, toxic int")
+    p, y = toxicity.labelled_chain(docs, labels).held_out["toxic"]
+    rank = np.argsort(np.argsort(p))
+    auc = (rank[y == 1].mean() - ((y == 1).sum() - 1) / 2) / (y == 0).sum()
+    assert 0.38 < auc < 0.62
+
+
+def test_toxicity_repeated_ids_and_clashes(spark):
+    docs, labels = toxic_corpus(spark, 300)
+    twice = docs.unionByName(docs).withColumn("toxic", F.lit("x")).withColumn("P_toxic", F.lit(1)).withColumn("p_low_quality", F.lit(1))
+    got = toxicity.toxicity(twice, labels.unionByName(labels))
+    assert got.count() == 600 and got.columns == [*docs.columns, "p_low_quality", "p_toxic", "toxic"]
+    assert len(toxicity.labelled_chain(twice, labels).held_out["toxic"][0]) == 300
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
 def test_toxicity_odd(spark):
     df = odd_rows(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
