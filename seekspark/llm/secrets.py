@@ -1,9 +1,12 @@
 """Secret scans: base patterns, and an assignment-aware lexer.
 
 The lexer reads source and configuration syntax (assignments, keyword arguments, JSON, YAML, INI, shell exports,
-command-line options) into pairs of a target name and the literals that its value is made of. Names that are
-assigned literals are constants, which are propagated into later values, so a literal counts for the target that
-it ends up in. A literal is scored by how sensitive its target's name is and by how much it looks like a secret.
+command-line options, in comments too) into pairs of a target name and the literals that its value is made of, over
+line ends where brackets, continuations or indentation carry on. Names that are assigned literals are constants,
+which are propagated into all values of the text that use them, so a literal counts for every target that it ends
+up in. A literal is scored by how sensitive its target's name is and by how much it looks like a secret.
+
+Every step takes time linear in the text (or linear times a logarithm), whatever its lines look like.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,21 +43,31 @@ LEAST = 0.62
 
 _TOKEN = re.compile(
     r"""
-    (?P<comment>(?://|\#)[^\n]*)
-    |(?P<string>"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}')
-    |(?P<name>(?:--)?[A-Za-z_$][A-Za-z0-9_$]{0,127}(?:[.-][A-Za-z0-9_$]{1,127}){0,8})
-    |(?P<number>[0-9][A-Za-z0-9_.+/-]{0,4096})
-    |(?P<op>:=|=>|==|!=|<=|>=|=|:|\+|,|;|\(|\)|\[|\]|\{|\})
-    |(?P<line>\n)
-    |(?P<blank>[ \t\r\f\v]+)
+    (?P<name>(?:--)?[A-Za-z_$][A-Za-z0-9_$]*+(?:[.-][A-Za-z0-9_$]++)*+)
+    |(?P<blank>[ \t\r\f\v]++)
+    |(?P<line>\\?\n)
+    |(?P<quote>"""+'\'{3}|"{3}'+r"""|["'`])
+    |(?P<op>:=|=>|==|!=|<=|>=|=|::|:)
+    |(?P<open>[(\[{])
+    |(?P<close>[)\]}])
+    |(?P<sep>[,;])
+    |(?P<plus>\+)
+    |(?P<mark>//++|\#++)
+    |(?P<number>[0-9][A-Za-z0-9_.+/-]*+)
     |(?P<other>.)
     """,
-    re.X | re.A,
+    re.X | re.A | re.S,
 )
-_BARE = re.compile(r"[^\s\"',;(){}\[\]<>]+")
+_OP = re.compile(r"[ \t]*+(:=|=>|=(?![=>])|:(?![:=]))")
+_BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]++")
+_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z_.]*+\Z", re.A)
+_KEYED = re.compile(r"[\"']?(?:--)?[A-Za-z_$][\w$.-]*+[\"']?[ \t]*+[:=]", re.A)
+_BLOCK = re.compile(r"[|>][+-]?[0-9]?[ \t\r]*\n")
+_BLANKS = re.compile(r"[ \t]*+")
+_REST = {'"': re.compile(r'(?:[^"\\\n]++|\\.)*+', re.S), "'": re.compile(r"(?:[^'\\\n]++|\\.)*+", re.S), "`": re.compile(r"(?:[^`\\\n]++|\\.)*+", re.S)}
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-#: A line that may hold an assignment: a name, then an operator. Runs of blanks are taken as a whole.
-_HINT = re.compile(r"[A-Za-z0-9_\"'$\])][ \t]*+(?:=|:)")
+#: What a line with an assignment holds: a name before an operator, or an option. Runs of blanks are taken as a whole.
+_HINT = re.compile(r"[A-Za-z0-9_\"'$\])][ \t]*+[:=]|--[A-Za-z]")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -73,108 +87,281 @@ def name_score(name: str) -> float:
     if not parts:
         return 0.0
     joined = {a + b for a, b in zip(parts, parts[1:])}
-    found = [SENSITIVE[p] for p in {*parts, *joined} if p in SENSITIVE]
+    every = {p if p in SENSITIVE else p.removesuffix("s") for p in {*parts, *joined}}
+    found = [SENSITIVE[p] for p in every if p in SENSITIVE]
     return (0.3 if HARMLESS & set(parts) else 1.0) * min(1.0, sum(found))
 
 
 def literal_score(value: str) -> float:
     """How much a literal looks like a secret: by length, entropy and the mix of kinds of characters."""
-    n = len(value)
-    if n < 6 or n > 4096 or PLACEHOLDER.match(value) or " " in value.strip() and n < 20:
+    if PLACEHOLDER.match(value) or " " in value.strip() and len(value) < 20:
+        return 0.0
+    return _looks(Counter(value))
+
+
+def _looks(chars: Counter) -> float:
+    n = chars.total()
+    if n < 6:
         return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(bool(re.search(k, value)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    entropy = -sum(c / n * math.log2(c / n) for c in chars.values())
+    own = "".join(chars)
+    kinds = sum(bool(re.search(k, own)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(1.0, 0.12 * entropy + 0.12 * kinds + min(n, 24) / 80)
 
 
-def _line_ranges(text: str) -> Iterator[tuple[int, int]]:
-    """The lines that hold a name before '=' or ':', or go on from one; all others cannot hold an assignment."""
-    at = 0
-    while m := _HINT.search(text, at):
-        start = text.rfind("\n", 0, m.start()) + 1
-        end = text.find("\n", m.end())
-        end = len(text) if end < 0 else end
-        yield start, end
-        at = end + 1
-
-
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """(target, literals) pairs in order; a literal is (value, start, end), constants' literals at their own place."""
-    constants: dict[str, list[tuple[str, int, int]]] = {}
-    for start, end in _line_ranges(text):
-        target: str | None = None
-        value: list[tuple[str, int, int]] = []
-        last: tuple[str, int, int] | None = None  # the latest name or string, which an operator may make a target
-        pos, joined = start, True
-
-        def closed() -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-            if target and value:
-                # The very last of a dotted name is what a later line may use.
-                constants[target] = constants[target.rpartition(".")[2]] = list(value)
-                yield target, list(value)
-
-        while pos < end:
-            m = _TOKEN.match(text, pos, end)
-            kind, own = m.lastgroup, m[0]
-            pos = m.end()
-            if kind in ("blank", "comment"):
-                continue
-            if kind == "op" and own in ("=", ":", ":=", "=>"):
-                if last is not None:
-                    if value and value[-1][1] == last[1]:
-                        value.pop()
-                    yield from closed()
-                    target, value, last, joined = last[0].strip("-"), [], None, True
-                    # What follows up to a blank may be one bare word, as in INI, YAML and shells.
-                    while pos < end and text[pos] in " \t":
-                        pos += 1
-                    bare = _BARE.match(text, pos, end)
-                    if bare and text[pos] not in "\"'":
-                        word = bare[0]
-                        if word in constants or not re.search(r"[0-9]", word) and re.fullmatch(r"[A-Za-z_][\w.]*", word, re.A):
-                            continue
-                        if "=" not in word.rstrip("=") and "://" not in word:
-                            value, joined = [(word, pos, bare.end())], False
-                            last, pos = None, bare.end()
+#: A part of a value: (text, start, end), and whether it is a string, a bare word or a name.
+Part = tuple[str, int, int, str]
+
+
+class _Lexer:
+    """The (target, parts) pairs of one text, in order."""
+
+    def __init__(self, text: str):
+        self.text, self.pairs = text, []
+        self.run_end = self.run_sign = -1  # the bare run that was looked at last, and the last '=' or '://' in it
+        self.unclosed: dict[str, int] = {}  # a quote sign: it is not closed before this place
+
+    def read(self) -> list[tuple[str, list[Part]]]:
+        at = 0
+        while m := _HINT.search(self.text, at):
+            at = self._statement(max(at, self.text.rfind("\n", at, m.start()) + 1))
+        return self.pairs
+
+    def _string(self, quote: str, start: int) -> int:
+        """Where the string whose inside begins at ``start`` ends, or -1. A kind of quote that is not closed once
+        is not looked for again before the place where that search ended."""
+        if start <= self.unclosed.get(quote, -1):
+            return -1
+        if len(quote) == 3:
+            end = self.text.find(quote, start)
+            self.unclosed[quote] = len(self.text) if end < 0 else -1
+            return end
+        end = _REST[quote].match(self.text, start).end()
+        if end < len(self.text) and self.text[end] == quote:
+            return end
+        self.unclosed[quote] = end
+        return -1
+
+    def _indent(self, at: int) -> int:
+        """Blanks before the first sign of the line that begins at ``at``."""
+        return _BLANKS.match(self.text, at).end() - at
+
+    def _block(self, at: int, indent: int) -> int:
+        """The end of the lines from ``at`` on that are empty or indented more than ``indent``."""
+        end = at
+        while at < len(self.text):
+            stop = self.text.find("\n", at)
+            stop = len(self.text) if stop < 0 else stop
+            inner = self._indent(at)
+            if at + inner < stop and inner <= indent:
+                break
+            at = stop + 1
+            if inner > indent:
+                end = stop
+        return end
+
+    def _bare(self, at: int) -> int:
+        """The end of a bare word that is a value as a whole, as in INI, YAML and shells, or -1."""
+        if at >= self.run_end:
+            m = _BARE.match(self.text, at)
+            if not m:
+                return -1
+            word = m[0]
+            self.run_end = m.end()
+            self.run_sign = at + max(word.rstrip("=").rfind("="), word.rfind("://"))
+            if _IDENTIFIER.match(word):
+                self.run_sign = self.run_end
+        return -1 if self.run_sign >= at else self.run_end
+
+    def _statement(self, start: int) -> int:
+        """Lex from the begin of a line to the end of the line at which nothing is open any more."""
+        text, n = self.text, len(self.text)
+        pos, line_indent = start, self._indent(start)
+        indent = line_indent  # of the target's line
+        target, op, parts = None, "", []
+        joined = waits = False  # the next part belongs to the value; the value has not begun
+        outer: list[str | None] = []  # the targets around open brackets
+        last = ""  # kind of the latest token that counts
+
+        def close() -> None:
+            nonlocal parts
+            if target and parts:
+                self.pairs.append((target, parts))
+            parts = []
+
+        while pos < n:
+            if waits:
+                pos = _BLANKS.match(text, pos).end()
+                block = _BLOCK.match(text, pos) if op == ":" else None
+                if block:
+                    end = self._block(block.end(), indent)
+                    if end > block.end():
+                        parts.append((text[block.end() : end], block.end(), end, "string"))
+                    pos, waits, joined = max(end, block.end() - 1), False, False
+                    continue
+                if pos < n and text[pos] not in "\"'`\n\\([{" and not _KEYED.match(text, pos):
+                    end = self._bare(pos)
+                    if end > 0:
+                        parts.append((text[pos:end], pos, end, "word"))
+                        pos, joined, last = end, False, "word"
+                        waits = False
+                        continue
+                waits = pos < n and text[pos] in "\r\n\\"
+                if pos == n:
+                    break
+            m = _TOKEN.match(text, pos)
+            kind, at, pos = m.lastgroup, pos, m.end()
+            if kind == "blank":
                 continue
-            if kind == "op" and own == "+":
-                joined = True
+            if kind == "line":
+                ahead = _BLANKS.match(text, pos).end()
+                empty = ahead >= n or text[ahead] in "\r\n"
+                deeper = ahead - pos > indent or text[ahead : ahead + 1] in ("'", '"')
+                # An item of a list under the target.
+                item = op == ":" and target and (waits or not outer) and ahead - pos >= indent and text.startswith("- ", ahead)
+                if not item and m[0] == "\n" and (empty or not (outer or last == "plus" or text[ahead] == "+" and parts or waits and deeper)):
+                    close()
+                    return pos
+                line_indent = ahead - pos
+                if item:
+                    close()
+                    pos, waits, joined = ahead + 2, True, True
+                elif outer and not parts and not waits:
+                    last = "line"
                 continue
-            if kind in ("string", "name"):
-                inner = (own[1:-1], m.start() + 1, m.end() - 1) if kind == "string" else (own, m.start(), m.end())
-                if target and joined:
-                    if kind == "string":
-                        value.append(inner)
-                    elif own in constants:
-                        value.extend(constants[own])
+            if kind in ("name", "quote"):
+                if kind == "quote":
+                    end = self._string(m[0], pos)
+                    if end < 0:
+                        last = "other"
+                        continue
+                    own: Part = (text[pos:end], pos, end, "string")
+                    pos = end + len(m[0])
+                else:
+                    own = (m[0], at, pos, "name")
+                sign = _OP.match(text, pos)
+                option = kind == "name" and own[0].startswith("--") and not sign and text[pos : pos + 1] in (" ", "\t")
+                if sign or option:
+                    name = own[0].strip("-")
+                    typed = sign and sign[1] == "=" and op == ":" and target and not parts and joined
+                    if not typed or name_score(name) > name_score(target):
+                        close()
+                        target = name
+                        indent = line_indent
+                    op, parts = sign[1] if sign else " ", []
+                    pos = sign.end() if sign else pos
+                    joined = waits = True
+                    last = "op"
+                    continue
+                if target and (joined or kind == "quote" and last == "quote"):
+                    parts.append(own)
                     joined = False
-                last = inner
+                last, waits = kind, False
                 continue
-            last = None
-            if kind == "op" and own in (",", ";", ")", "}", "]"):
-                yield from closed()
-                target, value, joined = None, [], True
-        yield from closed()
+            if kind == "open":
+                close()
+                outer.append(target)
+                # What follows a name is a call or an index, whose arguments are not the target's value.
+                target = None if last in ("name", "close") else target
+                joined, waits = True, False
+            elif kind == "close":
+                close()
+                target, joined = (outer.pop() if outer else None), False
+            elif kind == "sep":
+                close()
+                target, joined = (outer[-1] if outer and last != "name" else None), True
+            elif kind == "plus":
+                joined = True
+            elif kind == "mark":
+                if outer:
+                    continue
+                close()
+                target, joined = None, False
+            else:
+                joined = waits = False
+            last = kind
+        close()
+        return n
+
+
+def assignments(text: str) -> list[tuple[str, list[Part]]]:
+    """(target, parts) pairs in order."""
+    return _Lexer(text).read()
 
 
 def lexed_spans(text: str) -> list[tuple[str, int, int]]:
     """The literals that end up in a sensitive target and look like a secret."""
-    if "=" not in text and ":" not in text:
+    pairs = assignments(text) if _HINT.search(text) else []
+    weights = [name_score(t) for t, _ in pairs]
+    if not any(weights):
         return []
+    defined: dict[str, list[int]] = {}
+    for i, (name, _) in enumerate(pairs):
+        # The very last of a dotted name may be used too.
+        for n in {name, name.rpartition(".")[2]}:
+            defined.setdefault(n, []).append(i)
+
+    def constant(name: str, i: int) -> int | None:
+        """The assignment that a use in pair i means: the latest before, else the first after."""
+        places = defined.get(name) or defined.get(name.rpartition(".")[2]) or []
+        j = places[max(0, bisect_left(places, i) - 1)] if places else i
+        return None if j == i else j
+
+    own: list[list[Part]] = []
+    uses: list[set[int]] = []
+    for i, (_, parts) in enumerate(pairs):
+        found = {p[1]: constant(p[0], i) for p in parts if p[3] != "string"}
+        uses.append({j for j in found.values() if j is not None})
+        own.append([p for p in parts if p[3] == "string" or p[3] == "word" and found[p[1]] is None])
+    # A constant is as sensitive as the most sensitive target that it ends up in.
+    reached = [False] * len(pairs)
+    for i in sorted(range(len(pairs)), key=lambda i: -weights[i]):
+        todo = [i]
+        while todo:
+            j = todo.pop()
+            if not reached[j]:
+                reached[j], weights[j] = True, max(weights[i], weights[j])
+                todo.extend(uses[j])
+    score = [0.0] * len(pairs)
+    chars: dict[int, Counter] = {}
+
+    def letters(i: int) -> Counter:
+        if i not in chars:
+            chars[i] = Counter("".join(p[0] for p in own[i]))
+        return chars[i]
+
+    for i in range(len(pairs)):
+        if not weights[i]:
+            continue
+        score[i] = max(score[i], literal_score("".join(p[0] for p in own[i])))
+        if uses[i]:
+            # Parts may be short, so a value is looked at together with the constants that it names.
+            both = _looks(sum((letters(j) for j in uses[i]), Counter(letters(i))))
+            for j in (i, *uses[i]):
+                if not all(PLACEHOLDER.match(p[0]) for p in own[j]):
+                    score[j] = max(score[j], both)
     found = set()
-    for target, literals in assignments(text):
-        weight = name_score(target)
-        if weight:
-            whole = "".join(v for v, _, _ in literals)
-            if weight * 0.5 + literal_score(whole) * 0.5 >= LEAST and literal_score(whole) >= 0.5:
-                found.update(("lexed", a, b) for v, a, b in literals if v)
+    for i, parts in enumerate(own):
+        if weights[i] and score[i] >= 0.5 and 0.5 * weights[i] + 0.5 * score[i] >= LEAST:
+            found.update(("lexed", a, b) for v, a, b, _ in parts if v)
     return sorted(found, key=lambda x: x[1:])
 
 
+def apart(spans: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that overlap none of ``base``."""
+    starts, ends, reach = [], [], 0
+    for _, a, b in sorted(base, key=lambda x: x[1]):
+        reach = max(reach, b)
+        starts.append(a)
+        ends.append(reach)
+    # Of the base spans that begin before a span's end, none may end after its start.
+    return [s for s in spans if (i := bisect_left(starts, s[2])) == 0 or ends[i - 1] <= s[1]]
+
+
 def all_spans(text: str) -> tuple[list, list]:
     """(base spans, all spans): lexed literals are added where no base span overlaps."""
     base = base_spans(text)
-    more = [s for s in lexed_spans(text) if not any(s[1] < e and b < s[2] for _, b, e in base)]
+    more = apart(lexed_spans(text), base)
     return base, sorted([*base, *more], key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -188,7 +375,10 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """A row a document: counts and digest of the base spans, and all spans (code points, end exclusive).
 
-    Null and empty texts have none. Rows are scanned each for itself, so repeated rows and ids do not matter.
+    n_assign, n_access and n_hex count base spans, n_lexed the literals that the lexer adds where no base span
+    overlaps. Null and empty texts have none. Rows are scanned each for itself, so repeated rows and null ids do not
+    matter; an empty table gives no rows. Only doc_id and text are read and returned, whatever other columns there
+    are. Texts of any length are scanned whole, each by one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
