@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from seekspark.llm.common import apart
+
 #: The base patterns, in the order of kinds (fixed values).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -347,17 +349,6 @@ def lexed_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: x[1:])
 
 
-def apart(spans: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """The spans that overlap none of ``base``."""
-    starts, ends, reach = [], [], 0
-    for _, a, b in sorted(base, key=lambda x: x[1]):
-        reach = max(reach, b)
-        starts.append(a)
-        ends.append(reach)
-    # Of the base spans that begin before a span's end, none may end after its start.
-    return [s for s in spans if (i := bisect_left(starts, s[2])) == 0 or ends[i - 1] <= s[1]]
-
-
 def all_spans(text: str) -> tuple[list, list]:
     """(base spans, all spans): lexed literals are added where no base span overlaps."""
     base = base_spans(text)
