@@ -39,31 +39,6 @@ def words(n, seed, vocab=4000):
 # ---- 1 ----
 
 
-def test_nearest_recall_and_scores(spark):
-    rng = np.random.default_rng(0)
-    x = rng.standard_normal((600, 32)) * rng.uniform(0.5, 2, (600, 1))
-    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
-    got = multiprobe.nearest(rows, rows.filter("vec_id % 20 = 0"), k=10).toPandas()
-    x = x.astype(np.float32).astype(float)
-    hit = 0
-    for q in range(0, 600, 20):
-        s = x @ x[q]
-        own = got[got.query_id == q].sort_values("rank")
-        assert np.allclose(own.score, s[own.vec_id], atol=1e-12) and list(own["rank"]) == list(range(1, len(own) + 1))
-        assert q not in set(own.vec_id)
-        s[q] = -np.inf
-        hit += len(set(np.argsort(-s)[:10]) & set(own.vec_id))
-    assert hit >= 0.9 * 300
-
-
-def test_nearest_odd_vectors(spark):
-    v = [[1.0, 0.0], [1.0, 0.0], [0.0, 0.0], None, [float("nan"), 1.0], [None, 1.0], [1.0, 0.0], [float("inf"), 0.0]]
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
-    got = multiprobe.nearest(rows.unionByName(rows), rows.filter("vec_id in (0, 2, 3)"), k=5).collect()
-    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(0, 1, 1, 1.0), (0, 2, 6, 1.0)]
-    assert multiprobe.nearest(rows.limit(0), rows, k=5).count() == 0
-
-
 def test_perturbations_are_in_order_and_valid():
     sets = multiprobe.perturbations(6, 50)
     assert sets[0] == () and len(set(sets)) == 50
