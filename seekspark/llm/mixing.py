@@ -9,11 +9,14 @@ last block ends at its target.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekspark.llm.common import pin, prefix_sums, skew_join
+from seekspark.llm.common import free_names, pin, prefix_sums, settled
 
 #: Words of a block.
 BLOCK = 64
@@ -51,24 +54,21 @@ def recipe(stats: list[tuple[str | None, int]], weights: tuple[int, ...] = (1, 2
     return [(i, source, size, t) for i, ((source, size), t) in enumerate(zip(order, goal))]
 
 
-def schedule(spark, sources: list[tuple[int, str | None, int, float]], block: int) -> DataFrame:
-    """(src, k, length): the slots of each source, numbered from 0 in the order of the schedule."""
+def schedule(spark: SparkSession, sources: list[tuple[int, str | None, int, float]], block: int) -> DataFrame:
+    """(src, id, k): the slots of each source, numbered from 0 in the order of the schedule."""
     total = sum(t for *_, t in sources)
     n = math.ceil(total / block) if total else 0
-    edges, at = [], 0.0
-    for i, _, size, t in sources:
-        if t > 0:
-            at += t / total
-            edges.append((i, at))
-    point = (F.col("id") % POINTS * F.lit(GOLDEN).cast("long")) % POINTS / float(POINTS)
-    src: Column = F.lit(edges[-1][0] if edges else 0)
-    table = F.array(*[F.struct(F.lit(b).alias("upto"), F.lit(i).alias("src")) for i, b in edges]) if edges else None
-    slots = spark.range(n).withColumn("x", point)
-    if table is not None:
-        src = F.coalesce(F.element_at(F.filter(table, lambda e: F.col("x") < e["upto"]), 1)["src"], src)
-        if len(edges) == 1:
-            src = F.lit(edges[0][0])
-    rows = slots.select(src.cast("int").alias("src"), "id", F.floor(F.col("id") / CHUNK).alias("chunk"))
+    some = [(i, t) for i, _, _, t in sources if t > 0]
+    numbers, edges = np.array([i for i, _ in some], np.int32), np.cumsum([t / total for _, t in some])[:-1]
+
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot = b.column(0).to_numpy()
+            point = (slot % POINTS * GOLDEN) % POINTS / POINTS
+            src = numbers[np.searchsorted(edges, point, side="right")]
+            yield pa.RecordBatch.from_arrays([pa.array(src), b.column(0), pa.array(slot // CHUNK)], ["src", "id", "chunk"])
+
+    rows = spark.range(n).mapInArrow(owned, "src int, id long, chunk long")
     return prefix_sums(rows, ["src"], "chunk", [F.col("id")], F.lit(1), "k").select("src", "id", "k")
 
 
@@ -80,8 +80,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOC
     stops at 3 times its source's size; the excess is reshared by weight. taken: words of the document in the mix,
     repeats counted; at most 3 times its size. Empty documents take 0. Reruns agree: the shuffle is by a hash of
     doc_id and text. The recipe, one row a source, is made on the driver; everything else is spread in chunks
-    whatever a source's share. Repeated rows have each their own place.
+    whatever a source's share. Repeated rows have each their own place, null ids are allowed, an empty table gives
+    no rows. Only the three columns are read, whatever others there are. Texts are counted whole.
     """
+    return settled(docs.sparkSession, lambda: _mix(docs, weights, block, seed))
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...], block: int, seed: int) -> DataFrame:
     spark = docs.sparkSession
     sizes = pin(
         docs.select(
@@ -135,10 +140,12 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block
 
     A document's rest of up to a half of it thus rounds away or up, evenly over a source. Empty documents have no
     word to take and stay once. Needs unique doc_ids (rows that repeat one are taken as often as all of them);
-    rows without a doc_id stay once.
+    rows without a doc_id stay once. All columns pass through, whatever their names; an empty table gives no rows.
     """
-    share = pin(mix(docs, weights, block, seed).filter("doc_id is not null and size > 0"))
-    by_id = share.groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("_times"))
-    counted = by_id.select("doc_id", F.floor(F.col("_times") + 0.5).cast("int").alias("_times")).hint("shuffle_hash")
-    both = docs.join(counted, "doc_id", "left").withColumn("_times", F.coalesce("_times", F.lit(1)))
-    return both.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    share = mix(docs, weights, block, seed).filter("doc_id is not null and size > 0")
+    of, times, copy = free_names(docs, "of", "times", "copy")
+    by_id = share.groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("t"))
+    counted = by_id.select(F.col("doc_id").alias(of), F.floor(F.col("t") + 0.5).cast("int").alias(times)).hint("shuffle_hash")
+    both = docs.join(counted, F.col("doc_id") == F.col(of), "left").withColumn(times, F.coalesce(times, F.lit(1)))
+    copies = both.filter(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,13 +1,15 @@
-"""Near-duplicates by the share of common shingles (Jaccard), found through banded MinHash and verified exactly.
+"""Near-dedup by the share of common shingles (Jaccard): SimHash links first, completed by MinHash, verified exactly.
 
-Texts with equal sets of shingles form one class. A class has BANDS keys, each made of ROWS minima of its hashed
-shingles under random orders: two classes of similarity s share a key with probability 1 - (1 - s**ROWS)**BANDS, at
-0.8 all but 0.003 %. Of what shares a key, pairs go on whose minima agree in EASY of all places (at 0.8, 4.5 standard
-deviations below what is expected), and the sets of these are compared in full.
+Texts with equal sets of shingles form one class. Candidates are the classes whose SimHash fingerprints the Golay
+keys link (operator 9, at most 4 of 64 bits apart), and those that share one of BANDS keys of ROWS minima of hashed
+shingles. SimHash alone cannot reach the bound: at a similarity of 0.8 two fingerprints differ in about 10 bits, where
+64 bits tell nothing apart in a large corpus. Two classes of similarity s share a key of minima with probability
+1 - (1 - s**ROWS)**BANDS, at 0.8 all but 0.003 %. Of what shares such a key, pairs go on whose minima agree in EASY
+of all places (at 0.8, 4.5 standard deviations below what is expected). The sets of all candidates are compared in full.
 
 Keys of few classes have all their pairs compared at once. In larger ones each class first meets the key's first
 class and the one before it; then whatever the links so far have not joined is compared pair by pair. So a group of
-near copies costs a few links a row, and still no pair is left out.
+near copies, which SimHash links, costs a few links a row, and still no pair is left out.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekspark.llm import bytehash, fingerprints
-from seekspark.llm.common import pin, shuffle_partitions, skew_join
+from seekspark.llm.common import pin, settled, shuffle_partitions, skew_join
 from seekspark.llm.components import components
-from seekspark.llm.simhash_golay import keep_firsts
+from seekspark.llm.simhash_golay import keep_firsts, near_links
 
 BANDS, ROWS = 20, 4
 PLACES = BANDS * ROWS
@@ -37,8 +39,20 @@ _XOR, _ODD = np.random.default_rng(11).integers(0, 1 << 64, (2, PLACES), dtype=n
 _ODD = _ODD | np.uint64(1)
 
 
-def summaries(texts: list[str | None], shingle: int) -> list[tuple[int, bytes, bytes]]:
-    """(class, keys and signature, sorted shingle hashes) of each text; without words the last two are empty."""
+def simhash_of(hashes: np.ndarray) -> int:
+    """The SimHash of a text's shingle hashes: a bit is 1 if it is set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        own = np.ascontiguousarray(hashes[at : at + (1 << 16)])
+        ones += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def summaries(texts: list[str | None], shingle: int) -> list[tuple[int, int, bytes, bytes]]:
+    """(class, SimHash, keys and signature, sorted shingle hashes) of each text; without words the last two are empty.
+
+    A shingle counts once a text. Equal sets of shingles have equal SimHashes.
+    """
     words, counts = bytehash.word_hashes([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts])
     hashes, n = fingerprints.shingle_hashes(words, counts, shingle)
     ends = np.cumsum(n)
@@ -53,23 +67,24 @@ def summaries(texts: list[str | None], shingle: int) -> list[tuple[int, bytes, b
     keys, places = bytehash.mix(keys), mixed.astype(np.uint8)
     out = []
     for i, (end, m) in enumerate(zip(ends.tolist(), n.tolist())):
-        own = np.unique(hashes[end - m : end]).tobytes()
-        out.append((xxhash.xxh64_intdigest(own, 42), keys[i].tobytes() + places[i].tobytes() if m else b"", own))
+        once = np.unique(hashes[end - m : end])
+        own = once.tobytes()
+        out.append((xxhash.xxh64_intdigest(own, 42), simhash_of(once), keys[i].tobytes() + places[i].tobytes() if m else b"", own))
     return out
 
 
 def summarised(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, c, sig, shingles) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, c, fp, sig, shingles) of every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 b = whole.slice(at, 128)
-                c, sig, own = zip(*summaries(b.column(1).to_pylist(), shingle))
-                made = [pa.array(np.array(c, np.uint64).view(np.int64)), pa.array(sig, pa.binary()), pa.array(own, pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0), *made], ["doc_id", "c", "sig", "shingles"])
+                c, fp, sig, own = zip(*summaries(b.column(1).to_pylist(), shingle))
+                made = [pa.array(np.array(c, np.uint64).view(np.int64)), pa.array(fp, pa.int64()), pa.array(sig, pa.binary()), pa.array(own, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0), *made], ["doc_id", "c", "fp", "sig", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, c long, sig binary, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, c long, fp long, sig binary, shingles binary")
 
 
 def _places(column: pa.Array) -> np.ndarray:
@@ -171,8 +186,19 @@ def verified(pairs: DataFrame, own: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def simhash_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): classes with words that operator 9 links; one link a fingerprint, and one a class that repeats one."""
+    some = classes.filter(F.length("sig") > 0)
+    firsts = pin(some.groupBy("fp").agg(F.min("c").alias("rep"), F.count("*").alias("n")))
+    links = pin(near_links(firsts.select("fp"), 4))
+    named = links.join(firsts.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b")
+    pairs = named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    repeated = skew_join(some.select("fp", "c"), firsts.filter("n > 1").select("fp", "rep"), ["fp"], "inner").filter("c <> rep")
+    return pairs.unionByName(repeated.select(F.col("rep").alias("a"), F.col("c").alias("b")))
+
+
 def similar_links(own: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """(a, b) links that connect all classes (c, sig) of similarity ``least`` or more, each verified."""
+    """(a, b) links that connect all classes (c, fp, sig) of similarity ``least`` or more, each verified."""
     agree = least - EASY
     rows = classes.filter(F.length("sig") > 0).select("c", "sig").mapInArrow(_keyed, "k long, c long, places binary")
 
@@ -189,7 +215,7 @@ def similar_links(own: DataFrame, classes: DataFrame, least: float) -> DataFrame
                     if len(j):
                         yield _pairs(c[s:e][i], c[s:e][j])
 
-    links = pin(verified(pin(_by_key(rows, first)), own, least))
+    links = pin(verified(pin(simhash_pairs(classes).unionByName(_by_key(rows, first)).distinct()), own, least))
     large = pin(rows.groupBy("k").count().filter(F.col("count") > SMALL_RUN).select("k"))
     if large.isEmpty():
         return links
@@ -199,23 +225,28 @@ def similar_links(own: DataFrame, classes: DataFrame, least: float) -> DataFrame
     return links if more.isEmpty() else links.unionByName(pin(verified(more, own, least)))
 
 
-def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(doc_id, component_id) of every row of ``docs`` (doc_id, text).
-
-    Words and shingles are those of simhash_golay.near_duplicates, but a shingle counts once a text. Rows whose
-    shingles have a Jaccard similarity of ``least`` or more are linked, rows without words with each other;
-    component_id is the smallest doc_id reachable. Rows without a doc_id take part.
-    """
+def _similar(docs: DataFrame, least: float, shingle: int) -> DataFrame:
     own = pin(summarised(docs, shingle))
-    classes = pin(own.groupBy("c").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig")))
+    classes = pin(own.groupBy("c").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("sig").alias("sig")))
     roots = components(similar_links(own, classes, least))
     named = classes.select("c", "first").join(roots.select(F.col("node").alias("c"), "root"), "c", "left")
     named = pin(named.withColumn("root", F.coalesce("root", "c")))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_class = pin(named.join(smallest, "root").select("c", "component_id"))
+    smallest = pin(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    by_class = pin(skew_join(named.select("c", "root"), smallest, ["root"], "inner").select("c", "component_id"))
     return skew_join(own.select("doc_id", "c"), by_class, ["c"], "inner").select("doc_id", "component_id")
 
 
+def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id) of every row of ``docs`` (doc_id, text), whatever other columns there are.
+
+    Words and shingles are those of simhash_golay.near_duplicates, but a shingle counts once a text. Rows whose
+    shingles have a Jaccard similarity of ``least`` or more are linked, rows without words (null, empty) with each
+    other; component_id is the smallest doc_id reachable. Rows without a doc_id take part. Repeated rows come out as
+    often as they go in; an empty table gives no rows. Texts are read whole, whatever their length.
+    """
+    return settled(docs.sparkSession, lambda: _similar(docs, least, shingle))
+
+
 def drop_similar(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their component's smallest, as simhash_golay.drop_near_duplicates."""
-    return keep_firsts(docs, pin(similar(docs, least, shingle)))
+    return keep_firsts(docs, similar(docs, least, shingle))

@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seekspark.llm.common import free_names, without
+
 #: Slots; a prime, over a hundred times the number of shards.
 SLOTS = 65537
 
@@ -60,10 +62,14 @@ def place(rows: DataFrame, key: list[str], shards: list[str], weights: list[int]
 
     The table has ``slots`` rows whatever the input's size, so it is broadcast; rows are not shuffled. Null keys
     are a value like any other; equal keys go to one shard, so the key should be unique to spread a hot group.
+    Texts of any length only pass through, repeated rows stay, an empty table gives no rows. Other columns pass
+    through; columns named slot or shard are replaced (and may be part of the key).
     """
     table = lookup_table(shards, weights, slots)
-    spark = rows.sparkSession
+    of, place_ = free_names(rows, "of", "place")
     listed = [(i, shards[s]) for i, s in enumerate(table.tolist())]
-    small = F.broadcast(spark.createDataFrame(listed, "slot int, shard string"))
-    slot = F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")
-    return rows.withColumn("slot", slot).join(small, "slot").select(*rows.columns, "slot", "shard")
+    small = F.broadcast(rows.sparkSession.createDataFrame(listed, f"{of} int, shard string"))
+    keyed = rows.withColumn(place_, F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int"))
+    keyed = without(keyed, "slot", "shard").join(small, F.col(place_) == F.col(of))
+    kept = [c for c in rows.columns if c.lower() not in ("slot", "shard")]
+    return keyed.select(*[F.col(f"`{c}`") for c in kept], F.col(place_).alias("slot"), "shard")

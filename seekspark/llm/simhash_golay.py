@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekspark.llm import golay
-from seekspark.llm.common import pin, shuffle_partitions, skew_join
+from seekspark.llm.common import pin, settled, shuffle_partitions, skew_join, without
 from seekspark.llm.components import components
 
 #: (shift, bits) of the three segments.
@@ -54,7 +54,8 @@ def fingerprints_of(texts: list[str | None], shingle: int) -> np.ndarray:
 
 
 def simhash(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFrame:
-    """Add ``fp``, the SimHash of each text as a signed long; other columns pass through."""
+    """Add ``fp``, the SimHash of each text as a signed long; other columns pass through, one of that name is replaced."""
+    docs = without(docs, "fp")
     schema = docs.select("*", F.lit(0).cast("long").alias("fp")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,31 +177,20 @@ def near_links(fps: DataFrame, bits: int) -> DataFrame:
 
     rows = fps.select("fp").mapInArrow(keyed, "k int, fp long")
     # A key with more than BLOCK fingerprints is cut into blocks, and every two of its blocks meet in a task.
-    big = [
-        (r["k"], -(-r["count"] // BLOCK))
-        for r in _large_keys(fps, keyed)
-    ]
-    plain = rows
-    if big:
-        table = F.broadcast(spark.createDataFrame(big, "k int, blocks int"))
-        plain = rows.join(table, "k", "left_anti")
+    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+    large = pin(rows.groupBy("k").count().filter(F.col("count") > BLOCK).select("k", blocks.alias("blocks")))
+    some = not large.isEmpty()
     links = (
-        plain.repartition(parts, "k")
+        (rows.join(large, "k", "left_anti") if some else rows)
+        .repartition(parts, "k")
         .sortWithinPartitions("k", "fp")
         .mapInArrow(lambda batches: _links(batches, bits), "a long, b long")
     )
-    if big:
-        links = links.unionByName(_block_links(rows.join(table, "k"), bits))
+    if some:
+        links = links.unionByName(_block_links(rows.join(large, "k"), bits))
     return links.distinct()
 
 
-def _large_keys(fps: DataFrame, keyed) -> list:
-    """Keys with more than BLOCK fingerprints: at most 33 x fingerprints / BLOCK of the 3 x 2**24 keys."""
-    return (
-        fps.select("fp").mapInArrow(keyed, "k int, fp long").groupBy("k").count().filter(F.col("count") > BLOCK).collect()
-    )
-
-
 def _block_links(rows: DataFrame, bits: int) -> DataFrame:
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -234,9 +224,9 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 5) -> DataFra
     classes = pin(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = pin(components(near_links(classes, bits)))
     named = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    named = named.withColumn("root", F.coalesce("root", "fp"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_class = pin(named.join(smallest, "root").select("fp", "component_id"))
+    named = pin(named.withColumn("root", F.coalesce("root", "fp")))
+    smallest = pin(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    by_class = pin(skew_join(named.select("fp", "root"), smallest, ["root"], "inner").select("fp", "component_id"))
     return skew_join(own, by_class, ["fp"], "inner").select("doc_id", "fp", "component_id")
 
 
@@ -245,7 +235,7 @@ def drop_near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 5) -> Da
 
     Rows without a doc_id cannot be told apart from their copies and stay.
     """
-    return keep_firsts(docs, pin(near_duplicates(docs, bits, shingle)))
+    return keep_firsts(docs, near_duplicates(docs, bits, shingle))
 
 
 def keep_firsts(docs: DataFrame, groups: DataFrame) -> DataFrame:

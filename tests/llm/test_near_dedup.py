@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from seekspark.llm import minhash
+from seekspark.llm import near_dedup
 from tests.llm.test_operators import docs_of, odd_rows, words
 
 
@@ -35,11 +35,11 @@ def near_texts():
     return texts + ["", None, " ", "A b", "a  b", "a b c d e", "b c d e f"]
 
 
-@pytest.mark.parametrize("small_run", [minhash.SMALL_RUN, 2])
+@pytest.mark.parametrize("small_run", [near_dedup.SMALL_RUN, 2])
 def test_similar_against_plain(spark, monkeypatch, small_run):
-    monkeypatch.setattr(minhash, "SMALL_RUN", small_run)
+    monkeypatch.setattr(near_dedup, "SMALL_RUN", small_run)
     texts = near_texts()
-    got = {r["doc_id"]: r["component_id"] for r in minhash.similar(docs_of(spark, texts)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.similar(docs_of(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == plain_roots(texts, 0.8)
 
 
@@ -49,8 +49,18 @@ def test_pipeline_stage_finds_similarity_08(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, r in enumerate(plain_roots(texts, 0.8)) if i == r]
 
 
+def test_simhash_links_near_copies(spark):
+    """Candidates of operator 9: a third and more of the group's links, and none of texts that share nothing."""
+    big = words(300, 99)
+    texts = [" ".join(big[:i] + ["other"] + big[i + 1 :]) for i in range(80)] + [" ".join(words(300, i)) for i in range(40)]
+    classes = near_dedup.summarised(docs_of(spark, texts), 5)
+    of = {r["c"]: r["doc_id"] for r in classes.collect()}
+    pairs = [(of[r["a"]], of[r["b"]]) for r in near_dedup.simhash_pairs(classes).collect()]
+    assert len(pairs) > 25 and all(a < 80 and b < 80 for a, b in pairs)
+
+
 def test_similar_odd_rows(spark):
     df = odd_rows(spark)
-    assert minhash.similar(df).count() == df.count()
-    assert minhash.drop_similar(df).filter("doc_id in (3, 4)").count() == 1
-    assert minhash.similar(df.limit(0)).count() == 0
+    assert near_dedup.similar(df).count() == df.count()
+    assert near_dedup.drop_similar(df).filter("doc_id in (3, 4)").count() == 1
+    assert near_dedup.similar(df.limit(0)).count() == 0
