@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekspark.llm import line_runs, minhash, mixing, packing, toxicity
-from seekspark.llm.common import pin
+from seekspark.llm import line_runs, mixing, near_dedup, packing, toxicity
+from seekspark.llm.common import settled
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +25,11 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 0.8 or more of its five-word shingles stays, that of the smallest doc_id."""
-    return minhash.drop_similar(docs, least=0.8, shingle=5)
+    """One document of each group that shares 0.8 or more of its five-word shingles stays, that of the smallest doc_id.
+
+    SimHash links by Golay keys come first; what 64 bits cannot reach, keys of minima find; all is verified.
+    """
+    return near_dedup.drop_similar(docs, least=0.8, shingle=5)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = pin(docs)
+    for _, stage in STAGES:
+        # A stage's output is a table; what it made on the way goes.
+        docs = settled(spark, partial(stage, spark, docs, sf_dir))
     return docs
