@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seekspark.llm import bytehash
-from seekspark.llm.common import pin, shuffle_partitions
+from seekspark.llm.common import pin, settled, shuffle_partitions, without
 
 #: Hashes of a sketch, and words of a shingle.
 K, SHINGLE = 128, 5
@@ -106,7 +106,11 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 
 
 def fingerprint(docs: DataFrame, text: str = "text", k: int = K, shingle: int = SHINGLE) -> DataFrame:
-    """Add ``fingerprint``: the text's sketch (null: as an empty text) as base64 of big-endian hashes."""
+    """Add ``fingerprint``: the text's sketch (null: as an empty text) as base64 of big-endian hashes.
+
+    Other columns pass through; one named fingerprint is replaced.
+    """
+    docs = without(docs, "fingerprint")
     schema = docs.select("*", F.lit("").alias("fingerprint")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,40 +210,64 @@ def edited_likeness(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> Data
 
     The edited text has the text's last floor(n/2) code points replaced by the first as many (or all) of the next
     document, in ascending doc_id, after the last the first. Null texts are empty. Rows that repeat a doc_id
-    follow each other in the order of their texts; rows without a doc_id come first. A single document is its own
-    next one. An empty table gives no rows.
+    follow each other in the order of a hash of their texts; rows without a doc_id come first. A single document is
+    its own next one. An empty table gives no rows. Only doc_id and text are read, whatever other columns there are.
+    Texts of any length are read whole, each by one task.
 
     Documents are dealt out by ranges of doc_id that a quantile sketch of the ids proposes, and sorted there; each
-    range also gets the first document of the next one. So each text is shuffled once.
+    range also gets the first document of the next one. An id that holds many rows (or none, as null) has several
+    ranges, by the texts' hash. So each text is shuffled once and no task gets more than a range.
     """
     parts = 4 * shuffle_partitions(docs.sparkSession)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     at = [i / parts for i in range(1, parts)]
-    cuts = sorted({int(x) for x in docs.select("doc_id").approxQuantile("doc_id", at, 0.1 / parts)})
-    return _edited_by_part(rows, cuts, k, shingle)
-
-
-def _edited_by_part(rows: DataFrame, cuts: list[int], k: int, shingle: int) -> DataFrame:
+    cuts = [int(x) for x in rows.approxQuantile("doc_id", at, 0.1 / parts)]
+    n = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
+    nulls = -(-(n["n"] - n["ids"]) * parts // max(n["n"], 1))
+    return settled(docs.sparkSession, lambda: _edited_by_part(rows, cuts, nulls, k, shingle))
+
+
+def _parts(ids: pd.Series, hashes: pd.Series, cuts: list[int], nulls: int) -> pd.Series:
+    """The range of each row: rising with (doc_id, hash), nulls first. An id that is a cut m times has m ranges."""
+    known, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+    most = int(max(times.max(initial=1), nulls))
+    none = ids.isna().to_numpy()
+    own = ids.fillna(0).astype("int64").to_numpy()
+    base = np.searchsorted(known, own, side="right")
+    hot = (base > 0) & (known[np.maximum(base, 1) - 1] == own) if len(known) else np.zeros(len(own), bool)
+    share = hashes.to_numpy().astype(float) / 2.0**64 + 0.5
+    ranges = np.where(hot, times[np.maximum(base, 1) - 1] if len(known) else 1, most)
+    sub = np.where(hot, np.minimum((share * ranges).astype(np.int64), ranges - 1), most)
+    # Each base has ranges 0 to most - 1 for its first id, and most for all others.
+    part = (base + 1) * (most + 1) + sub
+    lone = np.minimum((share * max(nulls, 1)).astype(np.int64), max(nulls, 1) - 1)
+    return pd.Series(np.where(none, lone, part).astype("int32"))
+
+
+def _edited_by_part(rows: DataFrame, cuts: list[int], nulls: int, k: int, shingle: int) -> DataFrame:
     spark = rows.sparkSession
 
     @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        at = np.searchsorted(np.array(cuts, np.int64), ids.fillna(-(2**63)).astype("int64").to_numpy(), side="right")
-        return pd.Series(np.where(ids.isna(), 0, at).astype("int32"))
+    def part_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return _parts(ids, hashes, cuts, nulls)
 
-    # A struct sorts nulls first, then by doc_id, then by text.
-    heads = rows.withColumn("part", part_of("doc_id")).groupBy("part").agg(F.min(F.struct("doc_id")).alias("h")).collect()
-    heads = sorted((r["part"], r["h"]["doc_id"]) for r in heads)
+    # A struct sorts nulls first, then by doc_id, then by hash.
+    key = F.struct("doc_id", "h")
+    heads = rows.select("doc_id", "h", part_of("doc_id", "h").alias("part")).groupBy("part").agg(F.min(key).alias("first")).collect()
+    heads = sorted(((r["part"], r["first"]["doc_id"], r["first"]["h"]) for r in heads), key=lambda x: x[0])
     if not heads:
         return spark.createDataFrame([], EDIT_SCHEMA)
     # At most one row a part: its first document, due at the end of the part before it.
-    due = [(heads[i - 1][0], doc_id) for i, (_, doc_id) in enumerate(heads)]
-    table = F.broadcast(spark.createDataFrame(due, "part int, due long"))
-    own = rows.select(part_of("doc_id").alias("part"), "doc_id", F.lit(True).alias("own"), "text")
-    firsts = rows.join(table, F.col("doc_id").eqNullSafe(F.col("due"))).groupBy("part", "doc_id").agg(F.min("text").alias("text"))
-    both = own.unionByName(firsts.select("part", "doc_id", F.lit(False).alias("own"), "text"))
+    due = [(heads[i - 1][0], doc_id, h) for i, (_, doc_id, h) in enumerate(heads)]
+    table = F.broadcast(spark.createDataFrame(due, "part int, due long, due_h long"))
+    own = rows.select(part_of("doc_id", "h").alias("part"), "doc_id", F.lit(True).alias("own"), "h", "text")
+    firsts = rows.join(table, F.col("doc_id").eqNullSafe(F.col("due")) & (F.col("h") == F.col("due_h")))
+    firsts = firsts.groupBy("part", "doc_id", "h").agg(F.min("text").alias("text"))
+    both = own.unionByName(firsts.select("part", "doc_id", F.lit(False).alias("own"), "h", "text"))
     return (
         both.repartition(shuffle_partitions(spark), "part")
-        .sortWithinPartitions("part", F.desc("own"), F.asc_nulls_first("doc_id"), "text")
+        .sortWithinPartitions("part", F.desc("own"), F.asc_nulls_first("doc_id"), "h", "text")
+        .select("part", "doc_id", "own", "text")
         .mapInArrow(lambda batches: _edited_rows(batches, k, shingle), EDIT_SCHEMA)
     )

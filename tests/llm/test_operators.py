@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import time
@@ -124,6 +125,51 @@ def test_edited_likeness(spark):
     assert one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
 
 
+def plain_sketch(text, k=fingerprints.K, n=fingerprints.SHINGLE):
+    """The k smallest hashes of the text's different shingles, hashed one by one."""
+    w = (text or "").encode().lower().split()
+    own = {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+    return np.sort(np.concatenate([fingerprints.sketches([b" ".join(x).decode()])[0] for x in own]))[:k] if own else np.zeros(0, np.uint64)
+
+
+def test_sketches_against_plain():
+    r = random.Random(9)
+    pool = ["a", "b", "É", "word", "x" * 30, "1"]
+    texts = [" ".join(r.choice(pool) for _ in range(r.randrange(0, 400))) for _ in range(25)] + [" ".join(words(600, i)) for i in range(5)]
+    for text, own in zip(texts, fingerprints.sketches(texts)):
+        want = plain_sketch(text)
+        assert np.array_equal(own, want)
+    for a in texts[:6]:
+        for b in texts[:6]:
+            x, y = plain_sketch(a), plain_sketch(b)
+            low = np.union1d(x, y)[: fingerprints.K]
+            both = len(set(low.tolist()) & set(x.tolist()) & set(y.tolist()))
+            assert fingerprints.resemblance(x, y) == (both / len(low) if len(low) else 1.0)
+
+
+def test_fingerprint_odd_rows(spark):
+    """A third of the rows have one id, a third none; all are in their place, each edited with the next."""
+    texts = [" ".join(words(5 + i % 40, i)) for i in range(90)]
+    ids = [7 if i % 3 == 0 else None if i % 3 == 1 else 100 + i for i in range(90)]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").withColumns({c: F.lit("x") for c in ("h", "part", "own", "fingerprint")})
+    got = fingerprints.edited_likeness(df.repartition(5)).toPandas()
+    assert len(got) == 90 and got.doc_id.isna().sum() == 30 and (got.doc_id == 7).sum() == 30
+    last = max(i for i in ids if i)
+    edited = lambda t, after: hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()
+    rest = sorted((i, t) for i, t in zip(ids, texts) if i and i != 7)
+    for (i, t), (_, after) in zip(rest, rest[1:]):
+        assert got[got.doc_id == i].edited_sha256.iloc[0] == edited(t, after)
+    firsts = [t for i, t in zip(ids, texts) if i is None]
+    assert got[got.doc_id == last].edited_sha256.iloc[0] in {edited(rest[-1][1], t) for t in firsts}
+    sevens = [t for i, t in zip(ids, texts) if i == 7]
+    hashes = set(got[got.doc_id == 7].edited_sha256)
+    assert all(hashes & {edited(t, u) for u in sevens + [rest[0][1]] if u is not t} for t in sevens)
+    made = fingerprints.fingerprint(df)
+    assert made.columns == ["doc_id", "text", "h", "part", "own", "fingerprint"] and made.count() == 90
+    assert fingerprints.edited_likeness(df.limit(0)).count() == 0
+    assert fingerprints.edited_likeness(odd_rows(spark)).count() == odd_rows(spark).count()
+
+
 # ---- 4 ----
 
 
@@ -403,6 +449,27 @@ def test_lookup_table_is_even_and_stable(spark):
     assert placed.count() == df.count() and placed.filter("doc_id = 3").select("shard").distinct().count() == 1
 
 
+def test_placement_row_by_row(spark):
+    names, weights = [f"n{i}" for i in range(7)], [1, 2, 1, 1, 3, 1, 0]
+    # Turn by turn, in the order of names: the next free slot of the shard's own permutation.
+    slots, taken, at = 101, {}, dict.fromkeys(names, 0)
+    number = lambda n, salt: int.from_bytes(hashlib.sha256(f"{salt}:{n}".encode()).digest()[:8], "little")
+    order = {n: [(number(n, "start") % slots + j * (number(n, "step") % (slots - 1) + 1)) % slots for j in range(slots)] for n in names}
+    while len(taken) < slots:
+        for n, turns in zip(names, weights):
+            for _ in range(turns):
+                while at[n] < slots and order[n][at[n]] in taken:
+                    at[n] += 1
+                if len(taken) < slots:
+                    taken[order[n][at[n]]] = n
+    df = odd_rows(spark).withColumns({"slot": F.lit("x"), "SHARD": F.lit(1), "of": F.lit(2), "place": F.lit(3)})
+    got = sharding.place(df, ["doc_id", "text"], names, weights, slots)
+    assert got.columns == [*[c for c in df.columns if c not in ("slot", "SHARD")], "slot", "shard"] and got.count() == df.count()
+    for r in got.withColumn("hash", F.xxhash64("doc_id", "text")).collect():
+        assert r["slot"] == r["hash"] % slots and r["shard"] == taken[r["slot"]]
+    assert sharding.place(df.limit(0), ["doc_id"], names).count() == 0
+
+
 # ---- 8 ----
 
 
@@ -558,3 +625,39 @@ def test_mix(spark):
 def test_mix_odd_rows(spark):
     df = odd_rows(spark)
     assert mixing.mix(df).count() == df.count()
+
+
+def plain_mix(rows, seed_order, block, weights=(1, 2, 3)):
+    """Words taken of each row: the schedule slot by slot, each source's shuffled words taken word by word."""
+    by = {}
+    for i, (source, size) in enumerate(rows):
+        by.setdefault(source, []).append(i)
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    sizes = [sum(rows[i][1] for i in by[s]) for s in names]
+    goal = mixing.targets(sizes, [weights[j % len(weights)] for j in range(len(names))])
+    edges = np.cumsum(goal) / sum(goal)
+    slots, taken, done = math.ceil(sum(goal) / block), [0] * len(rows), [0] * len(names)
+    streams = [[i for i in sorted(by[s], key=lambda i: seed_order[i]) for _ in range(rows[i][1])] for s in names]
+    for n in range(slots):
+        j = min(int(np.searchsorted(edges, n % mixing.POINTS * mixing.GOLDEN % mixing.POINTS / mixing.POINTS, side="right")), len(names) - 1)
+        for w in range(done[j], min(done[j] + block, round(goal[j]))):
+            taken[streams[j][w % len(streams[j])]] += 1
+        done[j] = min(done[j] + block, round(goal[j]))
+    return taken
+
+
+def test_mix_against_plain(spark):
+    texts = [" ".join(words(3 + i * 7 % 50, i)) for i in range(120)]
+    sources = [None if i % 11 == 0 else "ab"[i % 3 == 0] + str(i % 2) for i in range(120)]
+    df = docs_of(spark, texts, sources)
+    order = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("h")).collect()}
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(df, block=16).collect()}
+    want = plain_mix([(s, len(t.split())) for s, t in zip(sources, texts)], [order[i] for i in range(120)], 16)
+    assert [got[i] for i in range(120)] == want
+
+
+def test_mix_clashing_columns(spark):
+    df = odd_rows(spark).withColumns({c: F.lit("x") for c in ("size", "target", "taken", "of", "times", "copy", "_times", "_copy", "src", "chunk")})
+    assert mixing.mix(df).count() == df.count()
+    assert mixing.mixed_documents(df).columns == df.columns
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
