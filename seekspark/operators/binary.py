@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seekspark.functions.vectors import code_words, dot, hamming
 from seekspark.operators.fusion import top_k
-from seekspark.operators.ivf import DIGITS, assign, default_nlist, probes, train_coarse
+from seekspark.operators.ivf import DIGITS, assign, default_nlist, probes, train_coarse, write_lists
 
 
 def thresholds(vectors: DataFrame, chunk: int, dim: int) -> list[float]:
@@ -61,7 +61,7 @@ class BinaryLists:
     def save(self, path: str) -> None:
         """Lists partitioned by list_id, so a search reads only what it probes."""
         spark = self.rows.sparkSession
-        self.rows.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
+        write_lists(self.rows, f"{path}/lists")
         self.centroids.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
         spark.createDataFrame([(self.cuts, self.dim)], "cuts array<double>, dim int").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
 

@@ -86,3 +86,34 @@ def nested_scales(docs: DataFrame, scales: list[int], seed: int = 42, retain_see
     placed = rows.join(F.broadcast(starts), ["o", "chunk"]).select("doc_id", pos.cast("long").alias("pos"))
     grid = F.explode(F.array(*[F.lit(s) for s in sorted(set(scales))]))
     return placed.withColumn("scale", grid).filter("pos <= scale").select("scale", "doc_id", "pos")
+
+
+#: Words of the run by which a passage is looked for; short passages that are broadcast at most.
+ANCHOR, BROADCAST_SHORT = 5, 10_000
+
+
+def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, doc_id): the documents (doc_id, text) that hold a passage (query_id, text), character by character.
+
+    Words inside a passage are words of any text that holds it. So each passage has a run of such words, the one
+    whose hash is smallest, which is joined with the documents' runs; what meets is compared in full. Passages too
+    short for a run are compared with every document: few in a test set, and more than a bound are an error.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (ANCHOR - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, ANCHOR), " ")))
+    asked = passages.select("query_id", F.col("text").alias("_p"), words("text").alias("w"))
+    long_enough = F.size("w") >= ANCHOR + 2
+    inner = F.slice("w", F.lit(2), F.size("w") - 2)
+    anchors = asked.filter(long_enough).select("query_id", "_p", F.array_min(runs(inner)).alias("h"))
+    own = docs.select("doc_id", "text", words("text").alias("w")).filter(F.size("w") >= ANCHOR)
+    keys = own.select("doc_id", F.explode(F.array_distinct(runs(F.col("w")))).alias("h"))
+    near = keys.join(anchors.select("query_id", "h"), "h").select("query_id", "doc_id")
+    met = near.join(docs.select("doc_id", "text"), "doc_id").join(anchors.select("query_id", "_p"), "query_id")
+    found = met.filter(F.contains("text", "_p")).select("query_id", "doc_id")
+    short = asked.filter(~long_enough).select("query_id", "_p")
+    n = short.count()
+    if n > BROADCAST_SHORT:
+        raise ValueError(f"{n} passages have fewer than {ANCHOR + 2} words")
+    if not n:
+        return found
+    return found.unionByName(docs.join(F.broadcast(short), F.contains("text", "_p")).select("query_id", "doc_id"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seekspark.functions.vectors import dot, squared_l2
 from seekspark.operators.fusion import top_k
+from seekspark.operators.vector import in_order, matrix
 
 #: Digits that centroids keep, so that they do not depend on the order of sums.
 DIGITS = 9
@@ -39,11 +40,38 @@ def first_centroids(vectors: DataFrame, nlist: int) -> DataFrame:
 
 
 def assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Add ``list_id``, the nearest centroid by L2, the smallest list_id of equals. Centroids, nlist rows, are broadcast."""
-    table = [(r["list_id"], r["centroid"]) for r in centroids.collect()]
-    literal = F.broadcast(vectors.sparkSession.createDataFrame([(table,)], "cs array<struct<list_id int, centroid array<double>>>"))
-    nearest = F.array_min(F.transform("cs", lambda c: F.struct(squared_l2(F.col("vector"), c["centroid"]).alias("d"), c["list_id"].alias("list_id"))))
-    return vectors.join(literal).withColumn("list_id", nearest["list_id"]).drop("cs")
+    """Add ``list_id``, the nearest centroid by L2, the smallest list_id of equals.
+
+    Distances come from matrix products; those that are as near as rounding goes are worked out in order. Centroids,
+    nlist rows, go with the task.
+    """
+    table = sorted((r["list_id"], r["centroid"]) for r in centroids.collect())
+    ids, c = np.array([i for i, _ in table], np.int32), np.array([v for _, v in table], float)
+    own = vectors.drop("list_id")
+    at = own.columns.index("vector")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                b = whole.slice(start, 1024)
+                x = matrix(b.column(at))
+                d = (c * c).sum(axis=1)[None, :] - 2 * (x @ c.T)
+                low = d.min(axis=1)
+                near = d <= (low + 1e-9 * np.maximum(1.0, np.abs(low)))[:, None]
+                place = d.argmin(axis=1)
+                for i in np.flatnonzero(near.sum(axis=1) > 1):
+                    j = np.flatnonzero(near[i])
+                    place[i] = j[in_order(np.repeat(x[i : i + 1], len(j), axis=0), c[j], "l2").argmax()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids[place])], [*b.schema.names, "list_id"])
+
+    return own.mapInArrow(run, own.select("*", F.lit(0).alias("list_id")).schema)
+
+
+def write_lists(rows: DataFrame, path: str, rows_a_file: int = 1 << 20) -> None:
+    """Lists in folders by list_id, so a search reads only what it probes. A large list is written by several tasks,
+    in files of at most ``rows_a_file``."""
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-rows.count() // rows_a_file))))
+    rows.repartition("list_id", salt).write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).partitionBy("list_id").parquet(path)
 
 
 def lloyd(vectors: DataFrame, centroids: DataFrame, rounds: int, dim: int) -> DataFrame:

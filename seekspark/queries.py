@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekspark.functions import text as T
-from seekspark.functions import vectors as V
 from seekspark.operators import binary, corpus, fusion, ivf, lexical, metrics, models, vector
 from seekspark.plans import pipelines
 from seekspark.plans.config import Config, HybridConfig, VectorConfig
 from seekspark.sources import tables as S
+from seekspark.sources.scratch import once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,18 +42,18 @@ def query(sql: str | None = None) -> Callable[[Q], Q]:
 def seeds(s: SparkSession, d: str) -> DataFrame:
     """(doc_id, title, text, is_seed): documents of the first source are seeds."""
     rows = S.load(s, d, "documents")
-    return S.documents_from(rows, "doc_id", None).join(rows.select(F.col("doc_id").cast("string").alias("doc_id"), (F.col("source") == "src0").alias("is_seed")), "doc_id")
+    return rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("text"), (F.col("source") == "src0").alias("is_seed"))
 
 
 def passages(s: SparkSession, d: str) -> DataFrame:
-    """Judgements: documents that hold a passage. Passages are few (a fixed test set), so they are broadcast."""
-    q = S.queries(s, d)
-    pairs = S.documents(s, d).select("doc_id", F.col("text").alias("_t")).join(F.broadcast(q), F.contains("_t", "text"))
+    """Judgements: documents that hold a passage."""
+    pairs = corpus.holding(S.documents(s, d), S.queries(s, d))
     return pairs.select("query_id", "doc_id", F.lit(1).alias("rel"))
 
 
 def vector_queries(s: SparkSession, d: str) -> DataFrame:
-    rows = S.load(s, d, "embeddings").filter("vec_id < 20")
+    """Every vector whose id is divisible by 50."""
+    rows = S.load(s, d, "embeddings").filter("vec_id % 50 = 0")
     return rows.select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
 
 
@@ -63,12 +63,17 @@ def passage_vectors(s: SparkSession, d: str) -> DataFrame:
 
 def label_qrels(s: SparkSession, d: str) -> DataFrame:
     e = S.load(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "vec_id", "label")
-    few = F.broadcast(e.filter("vec_id < 20").select(F.col("id").alias("query_id"), "label"))
+    few = e.filter("vec_id % 50 = 0").select(F.col("id").alias("query_id"), "label")
     return few.join(e, "label").filter("query_id <> id").select("query_id", F.col("id").alias("doc_id"), F.lit(1).alias("rel"))
 
 
+def bm25_index(s: SparkSession, d: str) -> lexical.Bm25:
+    """The documents' index, made once a session."""
+    return once(s, "bm25", S.load(s, d, "documents"), lambda path: lexical.Bm25.fit(S.documents(s, d), path=path))
+
+
 def bm25_run(s: SparkSession, d: str, k: int, method: str = "lucene") -> DataFrame:
-    return lexical.Bm25.fit(S.documents(s, d), method=method).search(S.queries(s, d), k)
+    return bm25_index(s, d).weighing(method).search(S.queries(s, d), k)
 
 
 def dense_run(s: SparkSession, d: str, k: int) -> DataFrame:
@@ -116,14 +121,14 @@ def _dense_sql(k: int, who: str, name: str = "dense", score: str = _DOT) -> str:
         SELECT query_id, doc_id, {score} AS score FROM {name}_q a, vecs b) QUALIFY rank <= {k})"""
 
 
-_FEW = "SELECT CAST(vec_id AS VARCHAR) FROM embeddings WHERE vec_id < 20"
+_FEW = "SELECT CAST(vec_id AS VARCHAR) FROM embeddings WHERE vec_id % 50 = 0"
 _ITEMS = "SELECT CAST(item_id AS VARCHAR) FROM benchmark"
 _QRELS = """
     qrels AS (SELECT CAST(item_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, 1 AS rel
         FROM benchmark q JOIN documents d ON contains(d.text, q.text))"""
 _LABELS = """
     qrels AS (SELECT CAST(a.vec_id AS VARCHAR) AS query_id, CAST(b.vec_id AS VARCHAR) AS doc_id, 1 AS rel
-        FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 20)"""
+        FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)"""
 _HYBRID = f"WITH {_bm25_sql('lucene', 100)}, {_VECS}, {_dense_sql(100, _ITEMS)}"
 _FUSED = """
     both_runs AS (SELECT *, 0 AS list FROM bm25 UNION ALL SELECT *, 1 AS list FROM dense)"""
@@ -220,7 +225,7 @@ _L2 = "-list_sum(list_transform(list_zip(a.vector::DOUBLE[], b.vector::DOUBLE[])
 
 @query(f"WITH {_VECS}, {_dense_sql(10, _FEW, 'dense', _L2)} SELECT query_id, doc_id, round(score, 9) + 0.0 AS score, rank FROM dense")
 def vector_l2_topk(s: SparkSession, d: str) -> DataFrame:
-    run = vector.exact_topk(S.vectors(s, d), vector_queries(s, d), 10, lambda a, b: -V.squared_l2(a, b))
+    run = vector.exact_topk(S.vectors(s, d), vector_queries(s, d), 10, "l2")
     return run.withColumn("score", F.round("score", 9) + 0.0)
 
 
@@ -230,10 +235,16 @@ def vector_ids_missing(s: SparkSession, d: str) -> DataFrame:
 
 
 def coarse(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(centroids, lists) from the vectors of the smallest ids and a fixed number of rounds."""
-    v = S.vectors(s, d)
-    centroids = ivf.lloyd(v, ivf.first_centroids(v, NLIST), ROUNDS, DIM)
-    return centroids, ivf.assign(v, centroids)
+    """(centroids, lists) from the vectors of the smallest ids and a fixed number of rounds, made once a session and
+    kept in files by list, of which a search reads those that it probes."""
+
+    def make(path: str) -> tuple[DataFrame, DataFrame]:
+        v = S.vectors(s, d)
+        centroids = ivf.lloyd(v, ivf.first_centroids(v, NLIST), ROUNDS, DIM)
+        ivf.write_lists(ivf.assign(v, centroids), path)
+        return centroids, s.read.parquet(path)
+
+    return once(s, "lists", S.load(s, d, "embeddings"), make)
 
 
 def _coarse_sql() -> str:
@@ -292,7 +303,13 @@ def bbq_thresholds(s: SparkSession, d: str) -> DataFrame:
 
 
 def lists_of_codes(s: SparkSession, d: str) -> binary.BinaryLists:
-    return binary.BinaryLists.fit(S.vectors(s, d), DIM, DIM // CHUNK, centroids=coarse(s, d)[0])
+    """The lists with codes, made once a session and kept in files."""
+
+    def make(path: str) -> binary.BinaryLists:
+        binary.BinaryLists.fit(S.vectors(s, d), DIM, DIM // CHUNK, centroids=coarse(s, d)[0]).save(path)
+        return binary.BinaryLists.load(s, path)
+
+    return once(s, "codes", S.load(s, d, "embeddings"), make)
 
 
 @query(f"WITH {_VECS}, {_CUTS} SELECT doc_id, {_word('vector', 0)} AS w0, {_word('vector', 32)} AS w1 FROM vecs, cuts")
@@ -480,7 +497,7 @@ def distractor_counts(s: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT lang, count(*) AS n_docs, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS n_bytes,
     CAST(sum(len({_TOK.format("coalesce(text, '')")})) AS BIGINT) AS n_tokens FROM documents GROUP BY 1""")
 def throughput_counts(s: SparkSession, d: str) -> DataFrame:
-    docs = S.documents(s, d).join(S.load(s, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang"), "doc_id")
+    docs = S.load(s, d, "documents").select(F.coalesce("text", F.lit("")).alias("text"), "lang")
     return models.throughput(docs, group=["lang"])
 
 
