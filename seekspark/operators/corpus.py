@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +14,25 @@ from seekspark.sources.tables import seeded_order
 #: A prime above 2**32; hashes of tokens are below 2**32 and multipliers below 2**31.
 PRIME = 4294967311
 PERMUTATIONS = 64
-#: Bands and rows of 64 permutations that weigh false finds and misses alike at a Jaccard similarity of 0.85.
+
+
+@lru_cache(maxsize=16)
+def bands_and_rows(jaccard: float, n: int = PERMUTATIONS, steps: int = 1000) -> tuple[int, int]:
+    """Bands and rows of ``n`` permutations for which false finds below a similarity and misses above it are least.
+
+    Both are areas under the chance 1 - (1 - s**rows)**bands of sharing a band, weighed alike.
+    """
+    below = [jaccard * (i + 0.5) / steps for i in range(steps)]
+    above = [jaccard + (1 - jaccard) * (i + 0.5) / steps for i in range(steps)]
+
+    def wrong(b: int, r: int) -> float:
+        share = lambda s: 1 - (1 - s**r) ** b
+        return jaccard * sum(map(share, below)) / steps + (1 - jaccard) * sum(1 - share(s) for s in above) / steps
+
+    return min(((b, r) for b in range(1, n + 1) for r in range(1, n // b + 1)), key=lambda x: (wrong(*x), x))
+
+
+#: The bands and rows at 0.85, as the function above gives them.
 BANDS, ROWS = 4, 15
 
 
@@ -39,8 +59,8 @@ def dedup_exact(docs: DataFrame) -> DataFrame:
     return docs.join(first.select("m.doc_id").distinct(), "doc_id", "left_semi")
 
 
-def minhash_bands(docs: DataFrame) -> DataFrame:
-    """(doc_id, band, key): the minima of ROWS permutations over the document's token set, as one key a band.
+def minhash_bands(docs: DataFrame, bands: int = BANDS, rows_a_band: int = ROWS) -> DataFrame:
+    """(doc_id, band, key): the minima of ``rows_a_band`` permutations over the document's token set, as one key a band.
 
     Tokens are hashed once and exploded; the minima of all permutations are one partial aggregate a document, in
     generated code, so the shuffle has about a row a document.
@@ -49,25 +69,26 @@ def minhash_bands(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.explode(tokens).alias("t"))
     rows = rows.select("doc_id", F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long").alias("h"))
     # a * h + b stays below 2**63.
-    minima = [F.min((F.lit(a).cast("long") * F.col("h") + F.lit(b)) % F.lit(PRIME)).alias(f"m{i}") for i, (a, b) in enumerate(multipliers()[: BANDS * ROWS])]
-    rows = rows.groupBy("doc_id").agg(*minima).select("doc_id", F.array(*[f"m{i}" for i in range(BANDS * ROWS)]).alias("ms"))
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.md5(F.array_join(F.slice("ms", i * ROWS + 1, ROWS), ",")).alias("key")) for i in range(BANDS)])
-    return rows.select("doc_id", F.explode(bands).alias("b")).select("doc_id", "b.band", "b.key")
+    minima = [F.min((F.lit(a).cast("long") * F.col("h") + F.lit(b)) % F.lit(PRIME)).alias(f"m{i}") for i, (a, b) in enumerate(multipliers()[: bands * rows_a_band])]
+    rows = rows.groupBy("doc_id").agg(*minima).select("doc_id", F.array(*[f"m{i}" for i in range(bands * rows_a_band)]).alias("ms"))
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.md5(F.array_join(F.slice("ms", i * rows_a_band + 1, rows_a_band), ",")).alias("key")) for i in range(bands)])
+    return rows.select("doc_id", F.explode(keys).alias("b")).select("doc_id", "b.band", "b.key")
 
 
-def dedup_minhash(docs: DataFrame) -> DataFrame:
+def dedup_minhash(docs: DataFrame, jaccard: float = 0.85) -> DataFrame:
     """``docs`` (doc_id, title, text, is_seed) without the rows that share a band with a seed; seeds stay.
 
     Near copies among the others stay, as candidates are not verified.
     """
-    seeds = minhash_bands(docs.filter("is_seed")).select("band", "key").distinct()
-    near = minhash_bands(docs.filter("not is_seed")).join(seeds, ["band", "key"], "left_semi").select("doc_id").distinct()
+    own = bands_and_rows(jaccard) if jaccard != 0.85 else (BANDS, ROWS)
+    seeds = minhash_bands(docs.filter("is_seed"), *own).select("band", "key").distinct()
+    near = minhash_bands(docs.filter("not is_seed"), *own).join(seeds, ["band", "key"], "left_semi").select("doc_id").distinct()
     return docs.join(near, "doc_id", "left_anti")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, jaccard: float = 0.85) -> DataFrame:
     """Exact copies, then near copies of seeds."""
-    return dedup_minhash(dedup_exact(docs))
+    return dedup_minhash(dedup_exact(docs), jaccard)
 
 
 def nested_scales(docs: DataFrame, scales: list[int], seed: int = 42, retain_seed: bool = True) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,3 +66,45 @@ def rrf_slug(k: int) -> str:
 
 def weighted_slug(weights: list[float]) -> str:
     return "weighted_" + "_".join(f"{w:.2f}".replace(".", "p") for w in weights)
+
+
+class Fusion(Protocol):
+    """A way to make one run of several."""
+
+    slug: str
+
+    def fuse(self, runs: list[DataFrame], top: int) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class Rrf:
+    k: int = 60
+    weights: tuple[float, ...] | None = None
+
+    @property
+    def slug(self) -> str:
+        return rrf_slug(self.k)
+
+    def fuse(self, runs: list[DataFrame], top: int) -> DataFrame:
+        return rrf(runs, top, self.k, list(self.weights) if self.weights else None)
+
+
+@dataclass(frozen=True)
+class Weighted:
+    weights: tuple[float, ...] = (0.5, 0.5)
+
+    @property
+    def slug(self) -> str:
+        return weighted_slug(list(self.weights))
+
+    def fuse(self, runs: list[DataFrame], top: int) -> DataFrame:
+        return weighted(runs, top, list(self.weights))
+
+
+FUSIONS: dict[str, Callable[..., Fusion]] = {"rrf": Rrf, "weighted": Weighted}
+
+
+def get_fusion(slug: str, **settings: object) -> Fusion:
+    if slug not in FUSIONS:
+        raise KeyError(f"no fusion {slug!r}; there are {sorted(FUSIONS)}")
+    return FUSIONS[slug](**settings)

@@ -124,60 +124,91 @@ def nprobe_sweep(lists: DataFrame, centroids: DataFrame, queries: DataFrame, k:
     return top_k(pairs.withColumn("nprobe", grid).filter("probe <= nprobe").drop("probe"), k, ["nprobe", "query_id"])
 
 
+def parts_of(dim: int, m: int) -> int:
+    """The largest number of equal parts of a vector, ``m`` at most."""
+    return next(p for p in range(min(m, dim), 0, -1) if dim % p == 0)
+
+
+def code_parts(dim: int) -> int:
+    return next((m for m in (48, 32) if dim % m == 0), dim)
+
+
+def factory_label(nlist: int, m: int, bits: int) -> str:
+    return f"OPQ{m},IVF{nlist},PQ{m}x{bits}fs,RFlat"
+
+
 @dataclass
 class ProductIndex:
-    """Inverted lists whose vectors are m codes of ``bits`` bits; searches refine the best codes exactly.
+    """Inverted lists of vectors as m codes of ``bits`` bits; searches refine the best codes exactly.
 
-    Codebooks come from at most ``sample`` vectors, taken in a seeded order; all vectors are coded.
+    A code stands for a vector's residual from its list's centroid, turned by the sample's principal axes, which are
+    dealt to the parts so that each holds a like share of the variance. Axes and codebooks come from a sample of
+    ``train_size`` vectors, ``sample`` at most, taken in a seeded order; all vectors are coded.
     """
 
     centroids: DataFrame
+    turn: np.ndarray  # (dim, dim)
     books: np.ndarray  # (m, 2**bits, dim / m)
     rows: DataFrame  # doc_id, vector, list_id, code
 
     @classmethod
-    def fit(cls, vectors: DataFrame, nlist: int, m: int, bits: int = 4, seed: int = 42, sample: int = 20_000, rounds: int = 12) -> ProductIndex:
-        few = vectors.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "doc_id"))).limit(sample).select("vector").collect()
-        if not few:
+    def fit(cls, vectors: DataFrame, nlist: int, m: int, bits: int = 4, seed: int = 42, sample: int = 20_000, rounds: int = 12, strategy: str = "nlist") -> ProductIndex:
+        n = vectors.count()
+        if not n:
             raise RuntimeError("no vectors to index")
-        x = np.array([r["vector"] for r in few], float)
+        centroids = train_coarse(vectors, nlist, seed)
+        few = vectors.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "doc_id"))).limit(min(sample, max(train_size(n, nlist, strategy), min(n, 1 << bits))))
+        got = assign(few.select("doc_id", "vector"), centroids).orderBy("doc_id").collect()
+        means = {r["list_id"]: np.array(r["centroid"]) for r in centroids.collect()}
+        x = np.array([np.array(r["vector"], float) - means[r["list_id"]] for r in got])
         m = min(m, x.shape[1])
         if x.shape[1] % m:
             raise ValueError("the number of components must be a multiple of m")
+        axes = np.linalg.eigh(np.cov(x, rowvar=False) if len(x) > 1 else np.eye(x.shape[1]))[1][:, ::-1]
+        # Axis j goes to part j mod m, back and forth.
+        place = np.arange(x.shape[1]).reshape(-1, m)
+        place[1::2] = place[1::2, ::-1]
+        turn = axes[:, place.T.ravel()]
         rng, books = np.random.default_rng(seed), []
-        for part in np.split(x, m, axis=1):
+        for part in np.split(x @ turn, m, axis=1):
             c = part[rng.permutation(len(part))[: 1 << bits]]
             for _ in range(rounds):
-                near = ((part[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+                near = ((c * c).sum(axis=1)[None] - 2 * part @ c.T).argmin(axis=1)
                 c = np.array([part[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(len(c))])
             books.append(c)
         table = np.array(books)
-        centroids = train_coarse(vectors, nlist, seed)
 
         def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                v = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, m, -1)
-                code = ((v[:, :, None] - table[None]) ** 2).sum(axis=3).argmin(axis=2).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in code], pa.binary())], [*b.schema.names, "code"])
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    b = whole.slice(at, 1024)
+                    own = np.array([means[i] for i in b.column(2).to_pylist()])
+                    v = ((matrix(b.column(1)) - own) @ turn).reshape(b.num_rows, m, -1)
+                    code = ((v[:, :, None] - table[None]) ** 2).sum(axis=3).argmin(axis=2).astype(np.uint8)
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in code], pa.binary())], [*b.schema.names, "code"])
 
         rows = assign(vectors.select("doc_id", "vector"), centroids).select("doc_id", "vector", "list_id")
         schema = rows.select("*", F.lit(b"").alias("code")).schema
-        return cls(centroids, table, rows.mapInArrow(coded, schema))
+        return cls(centroids, turn, table, rows.mapInArrow(coded, schema))
 
     def search(self, queries: DataFrame, k: int, nprobe: int, k_factor: int = 4) -> DataFrame:
+        """The k best by codes of each query's nearest lists, ``k_factor`` times as many, refined by inner product."""
         if k <= 0:
             raise ValueError("k must be above 0")
-        books = self.books
-        asked = probes(queries, self.centroids, nprobe).select("query_id", "list_id", F.col("vector").alias("_q"))
+        books, turn = self.books, self.turn
+        asked = probes(queries, self.centroids, nprobe).join(F.broadcast(self.centroids), "list_id")
+        asked = asked.select("query_id", "list_id", F.col("vector").cast("array<double>").alias("_q"), dot(F.col("vector"), F.col("centroid")).alias("_c"))
 
         def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                q = np.array(b.column("_q").to_pylist(), float).reshape(b.num_rows, len(books), -1)
-                code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                near = books[np.arange(len(books))[None], code]
-                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("doc_id"), pa.array((near * q).sum(axis=(1, 2)))], ["query_id", "doc_id", "score"])
-
-        pairs = self.rows.select("doc_id", "list_id", "code").join(asked, "list_id").select("query_id", "doc_id", "_q", "code")
+            for whole in batches:
+                for at in range(0, whole.num_rows, 4096):
+                    b = whole.slice(at, 4096)
+                    q = (matrix(b.column("_q")) @ turn).reshape(b.num_rows, len(books), -1)
+                    code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                    near = (books[np.arange(len(books))[None], code] * q).sum(axis=(1, 2)) + b.column("_c").to_numpy()
+                    yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("doc_id"), pa.array(near)], ["query_id", "doc_id", "score"])
+
+        pairs = self.rows.select("doc_id", "list_id", "code").join(asked, "list_id").select("query_id", "doc_id", "_q", "_c", "code")
         best = top_k(pairs.mapInArrow(approximate, "query_id string, doc_id string, score double"), k * k_factor)
         exact = best.select("query_id", "doc_id").join(self.rows.select("doc_id", "vector"), "doc_id").join(queries.select("query_id", F.col("vector").alias("_q")), "query_id")
         return top_k(exact.select("query_id", "doc_id", dot(F.col("vector"), F.col("_q")).alias("score")), k)

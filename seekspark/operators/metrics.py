@@ -103,3 +103,25 @@ class LatencyProbe:
             if i >= 0:
                 out.append((i, (time.perf_counter_ns() - began) / 1e6))
         return spark.createDataFrame(out, "i int, ms double")
+
+
+def search_and_time(search: Callable[[DataFrame], DataFrame], queries: DataFrame, calls: int, warmup: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(run, latency statistics in milliseconds): all queries in one search, then single ones in turn.
+
+    The queries that are timed are the first ``calls`` by id, taken again if there are fewer.
+    """
+    spark = queries.sparkSession
+    run = search(queries)
+    ids = [r["query_id"] for r in queries.select("query_id").orderBy("query_id").limit(max(calls, 1)).collect()]
+    if not calls or not ids:
+        return run, latency_stats(spark.createDataFrame([], "i int, ms double"))
+    single = [queries.filter(F.col("query_id") == i).persist() for i in ids]
+    probe = LatencyProbe(lambda q: search(q).write.format("noop").mode("overwrite").save(), calls, warmup, single)
+    stats = latency_stats(probe.run(spark))
+    for q in single:
+        q.unpersist()
+    return run, stats
+
+
+#: Measures that a report shows on their own; all others go along.
+CORE_FIELDS = ("ndcg_10", "recall_10", "recall_100", "map", "mrr", "p_5")

@@ -42,6 +42,12 @@ class VectorConfig:
     m: int = 48
     bits: int = 4
     k_factor: int = 4
+    coarse: str = "kmeans"  # or "lloyd": fixed rounds from the vectors of the smallest ids
+    rounds: int = 2
+
+    def __post_init__(self) -> None:
+        if self.coarse not in ("kmeans", "lloyd"):
+            raise ValueError("coarse is kmeans or lloyd")
 
     def nlist_for_scale(self, scale: int) -> int:
         """The setting of the nearest scale that has one."""
@@ -71,6 +77,14 @@ class PreflightConfig:
     least: float = 0.62
 
 
+@dataclass(frozen=True)
+class LatencyConfig:
+    """Calls that are timed for each row of results, after the calls that are not; none by default."""
+
+    calls: int = 0
+    warmup: int = 1
+
+
 @dataclass(frozen=True)
 class Config:
     corpus: CorpusConfig = CorpusConfig()
@@ -79,6 +93,7 @@ class Config:
     hybrid: HybridConfig = HybridConfig()
     rerank: RerankConfig = RerankConfig()
     preflight: PreflightConfig = PreflightConfig()
+    latency: LatencyConfig = LatencyConfig()
     k_values: tuple[int, ...] = (10, 100)
 
 

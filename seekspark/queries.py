@@ -260,9 +260,9 @@ def _coarse_sql() -> str:
 
 
 _PROBES = """
-    asked AS (SELECT doc_id AS query_id, vector FROM vecs WHERE doc_id IN ({who})),
+    askers AS (SELECT doc_id AS query_id, vector FROM vecs WHERE doc_id IN ({who})),
     probes AS (SELECT query_id, vector, list_id, row_number() OVER (PARTITION BY query_id ORDER BY
-        list_sum(list_transform(list_zip(vector::DOUBLE[], centroid), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), list_id) AS probe FROM asked, cs)""".format(who=_FEW)
+        list_sum(list_transform(list_zip(vector::DOUBLE[], centroid), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), list_id) AS probe FROM askers, cs)""".format(who=_FEW)
 
 
 @query(f"WITH {_coarse_sql()} SELECT doc_id, list_id FROM lists")
@@ -395,11 +395,19 @@ def rerank_overlap(s: SparkSession, d: str) -> DataFrame:
     return models.rerank(fused, S.queries(s, d), S.documents(s, d), 50, 10)
 
 
-@query()
+def _counts_sql(table: str, key: str) -> str:
+    return f"""(SELECT {key}, d, sum(s) AS x FROM (SELECT {key}, h % 64 AS d, CASE WHEN (h >> 8) & 1 = 1 THEN 1 ELSE -1 END AS s FROM (
+        SELECT CAST({key} AS VARCHAR) AS {key}, CAST('0x' || substr(md5(unnest({_TOK.format("coalesce(text, '')")})), 1, 8) AS BIGINT) AS h FROM {table})) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH scored AS (SELECT q.query_id, d.doc_id, coalesce(sum(a.x * b.x), 0)::DOUBLE AS score
+        FROM (SELECT CAST(item_id AS VARCHAR) AS query_id FROM benchmark) q CROSS JOIN (SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents) d
+        LEFT JOIN {_counts_sql("benchmark", "item_id")} a ON a.item_id = q.query_id LEFT JOIN {_counts_sql("documents", "doc_id")} b ON b.doc_id = d.doc_id AND a.d = b.d GROUP BY 1, 2)
+    SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 10""")
 def hash_embed_topk(s: SparkSession, d: str) -> DataFrame:
     docs, q = S.documents(s, d), S.queries(s, d)
-    v = models.encode(docs, "doc_id", T.body(F.col("title"), F.col("text")), "hash-embed")
-    return vector.block_topk(v, models.encode(q, "query_id", F.col("text"), "hash-embed"), 10)
+    v = models.encode(docs, "doc_id", F.col("text"), "hash-counts")
+    return vector.block_topk(v, models.encode(q, "query_id", F.col("text"), "hash-counts"), 10)
 
 
 # ---- evaluation ----
@@ -519,17 +527,43 @@ def manifest_digest(s: SparkSession, d: str) -> DataFrame:
     return corpus_digest(S.documents(s, d))
 
 
-@query()
+def _bpe_sql(merges: int) -> str:
+    """Symbols stand between signs 1 and 2; each round counts neighbours, takes the most frequent and joins them."""
+    out = f"""WITH w0 AS MATERIALIZED (SELECT count(*) AS n, chr(1) || array_to_string(string_split(w, ''), chr(2) || chr(1)) || chr(2) AS s FROM (
+        SELECT unnest({_TOK.format("coalesce(text, '')")}) AS w FROM documents) GROUP BY w)"""
+    for i in range(merges):
+        out += f""", p{i} AS (SELECT n, list_transform(string_split(s, chr(2))[:-2], lambda x: x[2:]) AS l FROM w{i}),
+        t{i} AS (SELECT n, l[j] AS a, l[j + 1] AS b FROM (SELECT n, l, unnest(range(1, len(l))) AS j FROM p{i})),
+        b{i} AS MATERIALIZED (SELECT a, b FROM t{i} GROUP BY 1, 2 ORDER BY sum(n) DESC, a, b LIMIT 1),
+        w{i + 1} AS MATERIALIZED (SELECT n, replace(s, chr(1) || a || chr(2) || chr(1) || b || chr(2), chr(1) || a || b || chr(2)) AS s FROM w{i}, b{i})"""
+    rows = " UNION ALL ".join(f"SELECT {i} AS i, a AS left, b AS right FROM b{i}" for i in range(merges))
+    return f"{out} {rows}"
+
+
+@query(_bpe_sql(12))
 def bpe_merges(s: SparkSession, d: str) -> DataFrame:
     merges = models.train_bpe(S.documents(s, d), 12)
     return s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "i int, left string, right string")
 
 
+@query("""SELECT 'src0:' || CAST(doc_id AS VARCHAR) AS doc_id, length(coalesce(text, '')) AS n FROM documents WHERE source = 'src0'""")
+def seed_documents(s: SparkSession, d: str) -> DataFrame:
+    rows = S.load(s, d, "documents").filter("source = 'src0'").drop("title").withColumn("title", F.lit(None).cast("string"))
+    return S.seed_documents(rows, "src0", "doc_id").select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+@query("""SELECT CAST(l_suppkey AS VARCHAR) AS query_id, CAST(l_partkey AS VARCHAR) AS doc_id, CAST(arg_max(l_linenumber, l_orderkey * 10 + l_linenumber) AS INTEGER) AS rel
+    FROM lineitem GROUP BY 1, 2""")
+def qrels_last(s: SparkSession, d: str) -> DataFrame:
+    rows = S.load(s, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("query_id"), F.col("l_partkey").cast("string").alias("doc_id"), F.col("l_linenumber").alias("rel"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    return S.qrels_from(rows, F.col("at"))
+
+
 # ---- modes ----
 
 
 def inputs(s: SparkSession, d: str) -> pipelines.Inputs:
-    return pipelines.Inputs(S.documents(s, d), S.queries(s, d), passages(s, d), S.vectors(s, d), passage_vectors(s, d), 5000, "given")
+    return pipelines.Inputs(S.documents(s, d), S.queries(s, d), passages(s, d), S.vectors(s, d), passage_vectors(s, d), 5000, "given", bm25_index(s, d))
 
 
 _MODE = "SELECT '{0}' AS mode, 5000 AS scale, '{1}' AS encoder, {2}"
@@ -564,14 +598,45 @@ def mode_hybrid_rerank(s: SparkSession, d: str) -> DataFrame:
     return pipelines.hybrid_rerank(inputs(s, d), Config())
 
 
-@query()
+def bbq_config(nprobe: tuple[int, ...]) -> Config:
+    return Config(vector=VectorConfig(nprobe=nprobe, nlist={5000: NLIST}, coarse="lloyd", rounds=ROUNDS))
+
+
+def _bbq_sql(nprobe: tuple[int, ...]) -> str:
+    """Binary search of the passages' vectors for each nprobe: near (nprobe, query_id, doc_id, score, rank)."""
+    return f"""{_coarse_sql()}, {_CUTS}, {_PROBES.replace(_FEW, _ITEMS)},
+    tried AS (SELECT unnest([{", ".join(map(str, nprobe))}]) AS nprobe),
+    coded AS (SELECT doc_id, vector, list_id, {_word("vector", 0)} AS w0, {_word("vector", 32)} AS w1 FROM lists, cuts),
+    coded_q AS (SELECT query_id, vector, list_id, probe, {_word("vector", 0)} AS q0, {_word("vector", 32)} AS q1 FROM probes, cuts),
+    pairs AS (SELECT nprobe, query_id, doc_id, b.vector, a.vector AS q, probe, bit_count(xor(w0, q0)) + bit_count(xor(w1, q1)) AS bits
+        FROM coded_q a JOIN coded b USING (list_id) JOIN tried ON probe <= nprobe),
+    best AS (SELECT *, row_number() OVER (PARTITION BY nprobe, query_id ORDER BY bits, probe, doc_id) AS r FROM pairs QUALIFY r <= 400),
+    near AS (SELECT nprobe, query_id, doc_id, score, row_number() OVER (PARTITION BY nprobe, query_id ORDER BY score DESC, doc_id) AS rank FROM (
+        SELECT nprobe, query_id, doc_id, list_inner_product(vector::DOUBLE[], q::DOUBLE[]) AS score FROM best) QUALIFY rank <= 100)"""
+
+
+_BASE_QRELS = """base_qrels AS (SELECT CAST(item_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, 1 AS rel
+        FROM benchmark q JOIN documents d ON contains(d.text, q.text))"""
+
+
+@query(f"""WITH {_bbq_sql((4, 16))}, {_BASE_QRELS}, places AS (SELECT unnest(['ram', 'disk']) AS storage),
+    swept AS (SELECT concat_ws('|', nprobe, storage, query_id) AS query_id, doc_id, score FROM near, places),
+    qrels AS (SELECT concat_ws('|', nprobe, storage, query_id) AS query_id, doc_id, rel FROM base_qrels, tried, places), {_metrics_sql('swept')}
+    {_MODE.format('diskbbq', 'given', _MEANS)}, CAST(split_part(query_id, '|', 1) AS INTEGER) AS nprobe, split_part(query_id, '|', 2) AS storage FROM per_query GROUP BY nprobe, storage""")
 def mode_diskbbq(s: SparkSession, d: str) -> DataFrame:
-    return pipelines.diskbbq(inputs(s, d), Config(vector=VectorConfig(nprobe=(4, 16))))
+    return pipelines.diskbbq(inputs(s, d), bbq_config((4, 16)))
 
 
-@query()
+@query(f"""WITH {_bm25_sql('lucene', 100)}, {_bbq_sql((4,))}, {_GRID}, {_BASE_QRELS},
+    both_runs AS (SELECT *, 0 AS list FROM bm25 UNION ALL SELECT query_id, doc_id, score, rank, 1 AS list FROM near),
+    qrels AS (SELECT concat_ws('|', rrf_k, w, query_id) AS query_id, doc_id, rel FROM base_qrels, grid),
+    swept AS (SELECT concat_ws('|', rrf_k, w, query_id) AS query_id, doc_id, score FROM (
+        SELECT rrf_k, w, query_id, doc_id, sum((CASE list WHEN 0 THEN wa ELSE wb END) / (rrf_k + rank) ORDER BY list) AS score FROM both_runs, grid GROUP BY 1, 2, 3, 4)
+        QUALIFY row_number() OVER (PARTITION BY rrf_k, w, query_id ORDER BY score DESC, doc_id) <= 100), {_metrics_sql('swept')}
+    {_MODE.format('hybrid_bbq', 'given', _MEANS)},
+    CAST(split_part(query_id, '|', 1) AS INTEGER) AS rrf_k, CAST(split_part(query_id, '|', 2) AS INTEGER) AS w FROM per_query GROUP BY rrf_k, w""")
 def mode_hybrid_bbq(s: SparkSession, d: str) -> DataFrame:
-    return pipelines.hybrid_bbq(inputs(s, d), Config())
+    return pipelines.hybrid_bbq(inputs(s, d), bbq_config((4,)))
 
 
 _RESULTS = "results AS (SELECT l_orderkey % 3 AS scale, l_returnflag AS mode, l_linestatus AS encoder, l_orderkey * 10 + l_linenumber AS ordinal, l_discount AS ndcg_10 FROM lineitem)"
@@ -590,3 +655,10 @@ def summarise_last(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_RESULTS} SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY scale, mode, encoder ORDER BY ndcg_10 DESC, ordinal DESC) = 1")
 def summarise_best(s: SparkSession, d: str) -> DataFrame:
     return pipelines.summarise(result_rows(s, d), "best")
+
+
+@query(f"WITH {_RESULTS}, f AS (SELECT encoder, scale, mode, ndcg_10 FROM results) SELECT encoder, count(*) AS n, max(scale) AS last_scale, round(sum(ndcg_10), 4) AS total FROM f GROUP BY 1")
+def summarise_by_encoder(s: SparkSession, d: str) -> DataFrame:
+    points = pipelines.by_encoder(result_rows(s, d))
+    total = F.aggregate("points", F.lit(0.0), lambda a, p: a + p["ndcg_10"])
+    return points.select("encoder", F.size("points").cast("long").alias("n"), F.element_at("points", -1)["scale"].alias("last_scale"), F.round(total, 4).alias("total"))

@@ -7,7 +7,8 @@ import json
 import re
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,8 +36,10 @@ class EmbeddingCache:
         try:
             table = self.spark.read.parquet(self.path)
             own = table.filter((F.col("encoder") == slug_of(encoder)) & (F.col("revision") == revision)).select("doc_id", "vector")
-            return None if own.isEmpty() else own
-        except AnalysisException:
+            # Reads every vector, so that a damaged file shows here.
+            row = own.agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id", "vector").cast("decimal(38,0)"))).first()
+            return own if row["n"] else None
+        except (AnalysisException, Py4JJavaError, PySparkException):
             return None
 
     def put(self, encoder: str, revision: str, vectors: DataFrame) -> None:

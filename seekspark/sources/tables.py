@@ -35,9 +35,55 @@ def queries_from(rows: DataFrame, query_id: str = "id", text: str = "text") -> D
 
 
 def qrels_from(rows: DataFrame, order: Column | None = None) -> DataFrame:
-    """(query_id, doc_id, rel); of rows that repeat a pair the last by ``order`` stays."""
-    w = Window.partitionBy("query_id", "doc_id").orderBy((order if order is not None else F.col("rel")).desc())
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("query_id", "doc_id", F.col("rel").cast("int").alias("rel"))
+    """(query_id, doc_id, rel); of rows that repeat a pair the last stays: by ``order``, else as the rows are read."""
+    at = order if order is not None else F.monotonically_increasing_id()
+    last = rows.select("query_id", "doc_id", F.col("rel").cast("int").alias("rel"), at.alias("_at"))
+    return last.groupBy("query_id", "doc_id").agg(F.max_by("rel", "_at").alias("rel"))
+
+
+def seed_documents(rows: DataFrame, name: str, doc_id: str = "id", title: str | None = "title", text: str = "text") -> DataFrame:
+    """(doc_id, title, text) with ids ``<name>:<id>``, by which ``is_seed`` knows them."""
+    return documents_from(rows, doc_id, title, text).withColumn("doc_id", F.concat(F.lit(f"{name}:"), "doc_id"))
+
+
+def is_seed(doc_id: Column, name: str) -> Column:
+    return doc_id.startswith(f"{name}:")
+
+
+def queries_and_qrels(spark: SparkSession, folder: str, seed: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """queries.jsonl (id, text) and qrels.jsonl (qid, did, rel) of a folder; a missing file is an empty table.
+    ``seed``: documents' ids get that prefix, as in ``seed_documents``."""
+    q = queries_from(read_jsonl(spark, f"{folder}/queries.jsonl", "id string, text string"))
+    rows = read_jsonl(spark, f"{folder}/qrels.jsonl", "qid string, did string, rel int")
+    did = F.concat(F.lit(f"{seed}:"), "did") if seed else F.col("did")
+    return q, qrels_from(rows.select(F.col("qid").alias("query_id"), did.alias("doc_id"), "rel"))
+
+
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, vector as float) of a Parquet table, after ``check_vectors``."""
+    rows = spark.read.parquet(path).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("vector").cast("array<float>").alias("vector"))
+    check_vectors(rows)
+    return rows
+
+
+class Corpus:
+    """A folder's corpus.jsonl, read and kept in memory once."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self._docs = spark, folder, None
+
+    def documents(self) -> DataFrame:
+        if self._docs is None:
+            self._docs = documents_from(read_jsonl(self.spark, f"{self.folder}/corpus.jsonl", "id string, title string, text string")).persist()
+        return self._docs
+
+    def seeds(self, name: str) -> DataFrame:
+        return self.documents().filter(is_seed(F.col("doc_id"), name))
+
+    def close(self) -> None:
+        if self._docs is not None:
+            self._docs.unpersist()
+            self._docs = None
 
 
 def relevant_for(qrels: DataFrame, query_id: str) -> DataFrame:
@@ -107,6 +153,3 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), F.col("embedding").alias("vector"))
-
-
-
