@@ -13,7 +13,7 @@ import numpy as np
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes that are hashed at a time; longer texts are cut between words.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
