@@ -55,9 +55,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Rows that go to a Python worker at a time.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        # A stage's output is a table; what it made on the way goes.
-        docs = settled(spark, partial(stage, spark, docs, sf_dir))
+    before = spark.conf.get(ARROW_ROWS[0], None)
+    spark.conf.set(*ARROW_ROWS)
+    try:
+        for _, stage in STAGES:
+            # A stage's output is a table; what it made on the way goes.
+            docs = settled(spark, partial(stage, spark, docs, sf_dir))
+    finally:
+        if before is None:
+            spark.conf.unset(ARROW_ROWS[0])
+        else:
+            spark.conf.set(ARROW_ROWS[0], before)
     return docs
