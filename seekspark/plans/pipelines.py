@@ -59,7 +59,7 @@ def get_mode(name: str) -> Callable:
 def _bm25(inp: Inputs, config: Config) -> lexical.Bm25:
     """The documents' index, one for all modes that run on the same inputs."""
     c = config.bm25
-    key = ("bm25", c)
+    key = ("bm25", repr(c))
     if key not in inp.made:
         inp.made[key] = inp.index or lexical.Bm25.fit(inp.docs, c.k1, c.b, c.method, STOPWORDS if c.stopwords else None)
     return inp.made[key]
@@ -102,7 +102,7 @@ def bm25(inp: Inputs, config: Config) -> DataFrame:
 
 def _product(inp: Inputs, config: Config) -> ivf.ProductIndex:
     c = config.vector
-    key = ("product", c, inp.scale)
+    key = ("product", repr(c), inp.scale)
     if key not in inp.made:
         dim = len(inp.vectors.first()["vector"])
         inp.made[key] = ivf.ProductIndex.fit(inp.vectors, c.nlist_for_scale(inp.scale), ivf.parts_of(dim, c.m), c.bits)

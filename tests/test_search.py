@@ -1,14 +1,17 @@
+import dataclasses
+import json
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seekspark import cli
 from seekspark.functions import text as T
-from seekspark.operators import binary, corpus, fusion, ivf, lexical, metrics, models, vector
+from seekspark.operators import binary, corpus, fusion, ivf, lexical, metrics, models, retrieval, vector
 from seekspark.plans import pipelines
-from seekspark.plans.config import Config, CorpusConfig, VectorConfig, build, load_config
-from seekspark.sources import store, tables
+from seekspark.plans.config import Config, CorpusConfig, HybridConfig, LatencyConfig, VectorConfig, build, load_config
+from seekspark.sources import scratch, store, tables
 
 DOC = tables.DOCUMENT
 
@@ -185,3 +188,187 @@ def test_bpe(spark):
 def test_summarise(spark):
     df = spark.createDataFrame([(1, "m", "e", 1, 0.9), (1, "m", "e", 2, 0.5)], "scale int, mode string, encoder string, ordinal int, ndcg_10 double")
     assert pipelines.summarise(df).first()["ndcg_10"] == 0.5 and pipelines.summarise(df, "best").first()["ndcg_10"] == 0.9
+
+
+def test_bm25_methods_share_postings_and_sum_by_bucket(spark, toy, tmp_path):
+    index = lexical.Bm25.fit(toy, path=str(tmp_path / "i"))
+    q = spark.createDataFrame([("q1", "body 42 42 w1"), ("q2", "title 7")], tables.QUERY)
+    for method in ("lucene", "atire", "bm25l"):
+        want = lexical.Bm25.fit(toy, method=method).search(q, 5).orderBy("query_id", "rank").collect()
+        assert index.weighing(method).search(q, 5).orderBy("query_id", "rank").collect() == want
+    run = index.search(q, 5)
+    run.collect()
+    plan = run._jdf.queryExecution().executedPlan().toString()
+    # Scores are summed in the buckets: the one exchange deals the best k of each by query.
+    assert plan.split("Initial Plan")[0].count("hashpartitioning(query_id") <= 2 and "hashpartitioning(query_id, doc_id" not in plan.replace("#", "").split("Initial Plan")[0]
+    assert index.size_bytes() == 8 * index.dfs.count() and index.slug == "bm25-lucene"
+    empty = spark.createDataFrame([("a", "", ""), ("b", "", "some words")], DOC)
+    assert (lexical.Bm25.fit(empty).n, lexical.Bm25.fit(empty).avgdl) == (2, 1.0)
+
+
+def test_passages_are_found_in_full(spark):
+    texts = ["x the quick brown fox jumps over the lazy dog y", "the quick  brown fox jumps over the lazy dog", "quick brown", "brow", "sthe quick brown fox jumps over the lazy dogs", "", None]
+    docs = spark.createDataFrame([(str(i), "", t) for i, t in enumerate(texts)], DOC)
+    passages = spark.createDataFrame([("p", "the quick brown fox jumps over the lazy dog"), ("s", "brown"), ("t", "brow"), ("n", "no such passage is in any of these texts")], tables.QUERY)
+    got = sorted((r["query_id"], r["doc_id"]) for r in corpus.holding(docs, passages).collect())
+    assert got == sorted((q["query_id"], str(i)) for q in passages.collect() for i, t in enumerate(texts) if t and q["text"] in t)
+
+
+def test_l2_and_ties(spark):
+    v = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 2.0])], "doc_id string, vector array<double>")
+    q = v.filter("doc_id = 'b'").withColumnRenamed("doc_id", "query_id")
+    assert [(r["doc_id"], r["score"]) for r in vector.exact_topk(v, q, 2).orderBy("rank").collect()] == [("a", 1.0), ("b", 1.0)]
+    assert [(r["doc_id"], r["score"]) for r in vector.exact_topk(v, q, 3, "l2").orderBy("rank").collect()] == [("a", 0.0), ("b", 0.0), ("c", -5.0)]
+    with pytest.raises(ValueError):
+        vector.exact_topk(v.unionByName(v), q, 2, check=True)
+    with pytest.raises(ValueError):
+        vector.exact_topk(v, q, 2, "cosine")
+
+
+def test_retrievers(spark, unit, toy, tmp_path):
+    x, v = unit
+    q = v.filter("doc_id < 'd0003'").withColumnRenamed("doc_id", "query_id")
+    for slug, settings in (("flat", {}), ("ivfpq", {"nlist": 4, "m": 48}), ("bbq", {"path": str(tmp_path / "b"), "nlist": 8})):
+        own = retrieval.get_retriever(slug, **settings)
+        assert own.slug == slug and own.size_bytes() == 0
+        with pytest.raises(RuntimeError):
+            own.search(q, 5)
+        with pytest.raises(ValueError):
+            own.add_documents(None)
+        own.add_documents(None, v)
+        own.set_search_params(nprobe=8, k_factor=6, other=1)
+        assert own.search(q, 5).count() == 15 and own.size_bytes() > 0
+        with pytest.raises(ValueError):
+            own.search(q, 0)
+    words = retrieval.get_retriever("bm25")
+    words.add_documents(toy)
+    assert words.search(spark.createDataFrame([("q", "body 42")], tables.QUERY), 1).first()["doc_id"] == "doc-0042"
+    with pytest.raises(KeyError):
+        retrieval.get_retriever("nope")
+
+
+def test_lists_in_memory_and_in_files(spark, unit, tmp_path):
+    x, v = unit
+    q = v.filter("doc_id < 'd0010'").withColumnRenamed("doc_id", "query_id")
+    own = retrieval.Bbq(str(tmp_path / "b"), nlist=8, nprobe=4)
+    own.add_documents(None, v)
+    runs = [sorted(map(tuple, own.search(q, 10, m).collect())) for m in ("ram", "disk", "auto")]
+    assert runs[0] == runs[1] == runs[2] and own.resolve("auto") == "ram"
+    own.auto_disk_bytes = 1
+    assert own.resolve("auto") == "disk"
+    with pytest.raises(ValueError):
+        own.search(q, 10, "tape")
+    own.set_search_params(use_rescore=False)
+    assert all(float(s).is_integer() for _, _, s, _ in map(tuple, own.search(q, 10, "disk").collect()))
+    own.close()
+    assert own.held is None
+
+
+def test_fusions(spark):
+    two = runs(spark, [("a", 1), ("b", 0.5)], [("b", 1), ("c", 0.5)])
+    for slug, settings, name in (("rrf", {"k": 60}, "rrf_k60"), ("weighted", {"weights": (0.3, 0.7)}, "weighted_0p30_0p70")):
+        own = fusion.get_fusion(slug, **settings)
+        assert own.slug == name and own.fuse(two, 1).first()["doc_id"] == "b"
+    with pytest.raises(KeyError):
+        fusion.get_fusion("nope")
+
+
+def mode_inputs(spark, toy, scale):
+    docs = toy.limit(60)
+    q = spark.createDataFrame([("q1", "body 5"), ("q2", "title 42 w2")], tables.QUERY)
+    qrels = spark.createDataFrame([("q1", "doc-0005", 1), ("q2", "doc-0042", 1)], tables.QRELS)
+    v = models.encode(docs, "doc_id", F.col("text"), "hash-embed")
+    return pipelines.Inputs(docs, q, qrels, v.persist(), models.encode(q, "query_id", F.col("text"), "hash-embed").persist(), scale, "hash-embed")
+
+
+@pytest.mark.parametrize("scale", [5000, 100000])
+def test_modes_at_both_sizes_with_latency(spark, toy, scale):
+    inp = mode_inputs(spark, toy, scale)
+    config = Config(vector=VectorConfig(nlist={5000: 4}, nprobe=(2, 4)), hybrid=HybridConfig(rrf_k=(60,), pool=20), latency=LatencyConfig(2, 0))
+    rows = pipelines.hybrid_rrf(inp, config).collect()
+    assert len(rows) == 3 and all(r["n_queries"] == 2 and r["lat_p95_ms"] >= r["lat_p50_ms"] > 0 for r in rows)
+    rows = pipelines.dense(inp, dataclasses.replace(config, latency=LatencyConfig())).collect()
+    assert [r["nprobe"] for r in sorted(rows, key=lambda r: r["nprobe"])] == ([0] if scale == 5000 else [2, 4])
+    assert "lat_p50_ms" not in rows[0]
+
+
+def test_search_and_time(spark, toy):
+    index = lexical.Bm25.fit(toy)
+    q = spark.createDataFrame([("q1", "body 5"), ("q2", "body 6")], tables.QUERY)
+    run, stats = metrics.search_and_time(lambda x: index.search(x, 2), q, 3, 0)
+    assert run.select("query_id").distinct().count() == 2 and stats.first()["n"] == 3
+
+
+def test_sources(spark, tmp_path):
+    rows = spark.createDataFrame([("q", "d", 1), ("q", "d", 3), ("q", "d", 2)], tables.QRELS).coalesce(1)
+    assert tables.qrels_from(rows).first()["rel"] == 2 and tables.qrels_from(rows, F.col("rel")).first()["rel"] == 3
+    seeds = tables.seed_documents(spark.createDataFrame([("1", None, "x")], "id string, title string, text string"), "s")
+    assert tuple(seeds.first()) == ("s:1", "", "x") and seeds.filter(tables.is_seed(F.col("doc_id"), "s")).count() == 1
+    assert tables.queries_and_qrels(spark, str(tmp_path))[0].count() == 0
+    (tmp_path / "corpus.jsonl").write_text('{"id": "s:1", "title": "t", "text": "x"}\n{"id": "2", "text": null}\n')
+    own = tables.Corpus(spark, str(tmp_path))
+    assert own.documents().count() == 2 and own.documents() is own.documents() and own.seeds("s").count() == 1
+    own.close()
+    v = spark.createDataFrame([("a", [1.0, 2.0])], "doc_id string, vector array<double>")
+    v.write.parquet(str(tmp_path / "v"))
+    assert tables.load_vectors(spark, str(tmp_path / "v")).schema["vector"].dataType.simpleString() == "array<float>"
+    cache = store.EmbeddingCache(spark, str(tmp_path / "e"))
+    cache.put("m", "r", v)
+    for f in (tmp_path / "e").rglob("*.parquet"):
+        f.write_bytes(f.read_bytes()[: f.stat().st_size // 2])
+    assert cache.get("m", "r") is None
+    made = []
+    for _ in range(2):
+        scratch.once(spark, "x", spark.read.parquet(str(tmp_path / "v")), lambda path: made.append(path) or path)
+    assert len(made) == 1
+
+
+def test_models_without_weights(spark, tmp_path, capsys):
+    states = np.arange(24, dtype=float).reshape(2, 3, 4)
+    got = models.last_token_pool(states, np.array([[1, 1, 0], [1, 1, 1]]))
+    assert np.allclose(got, np.stack([states[0, 1], states[1, 2]]) / np.linalg.norm(np.stack([states[0, 1], states[1, 2]]), axis=1, keepdims=True))
+    assert models.prefixes("e5-mistral-7b").document == "passage: " and models.prefixes("minilm-l6").query == ""
+    assert models.usable_reranker("encoder") is None and "left out" in capsys.readouterr().err and models.usable_reranker("overlap")
+    assert not models.enough_memory(1e9) and models.enough_memory(0.001)
+    assert ivf.factory_label(2048, 48, 4) == "OPQ48,IVF2048,PQ48x4fs,RFlat" and ivf.parts_of(64, 48) == 32 and ivf.parts_of(96, 48) == 48
+    assert corpus.bands_and_rows(0.85) == (corpus.BANDS, corpus.ROWS) and corpus.bands_and_rows(0.5)[0] > 4
+
+
+def test_tokenizer_rates(spark, tmp_path):
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import Whitespace
+
+    tok = Tokenizer(WordLevel({"hello": 0, "world": 1, "[UNK]": 2}, unk_token="[UNK]"))
+    tok.pre_tokenizer = Whitespace()
+    path = str(tmp_path / "t.json")
+    tok.save(path)
+    (tmp_path / "lines.txt").write_text("hello world\ngoodbye world\n\n")
+    (tmp_path / "lines.jsonl").write_text('{"text": "hello world"}\n{"text": null}\n')
+    assert [r["tokens"] for r in models.tokenize_text(spark, str(tmp_path / "lines.txt"), path).orderBy("doc_id").collect()] == [[0, 1], [2, 1], []]
+    assert [r["tokens"] for r in models.tokenize_jsonl(spark, str(tmp_path / "lines.jsonl"), path).orderBy("doc_id").collect()] == [[0, 1], []]
+    row = cli.tokens(spark, path, str(tmp_path / "lines.txt"), str(tmp_path / "csv"), 1).first()
+    assert (row["doc_count"], row["total_tokens"], row["bytes_processed"], row["vocab_size"]) == (3, 4, 24, 3)
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1
+    with pytest.raises(ValueError):
+        models.tokenizer_ids(spark.createDataFrame([("a", "b")], "doc_id string, text string"), path, 0)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    write = lambda name, rows: (tmp_path / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+    write("seed.jsonl", [{"id": f"d{i}", "title": f"t{i}", "text": f"doc {i} about topic{i}"} for i in range(5)])
+    write("pool.jsonl", [{"id": f"p{i}", "title": "", "text": f"other text {i} of the pool"} for i in range(20)])
+    write("q.jsonl", [{"id": f"q{i}", "text": f"topic{i}"} for i in range(2)])
+    write("r.jsonl", [{"qid": f"q{i}", "did": f"d{i}", "rel": 1} for i in range(2)])
+    (tmp_path / "c.json").write_text(json.dumps({"corpus": {"scales": [5, 12, 99]}, "hybrid": {"rrf_k": [60], "weights": [[1.0, 1.0]], "pool": 10}}))
+    at = lambda n: str(tmp_path / n)
+    cli.main(["--config", at("c.json"), "prepare", "--seed", at("seed.jsonl"), "--pool", f"x={at('pool.jsonl')}", "--queries", at("q.jsonl"), "--qrels", at("r.jsonl"), "--out", at("out"), "--max-scale", "12", "--encoders", "hash-embed"], spark)
+    manifest = store.load_manifest(spark, at("out/manifest"))
+    assert manifest["scales"] == {"5": 5, "12": 12} and manifest["n_qrels"] == 2
+    cli.main(["--config", at("c.json"), "benchmark", "--corpus", at("out"), "--out", at("results"), "--modes", "bm25,hybrid_rrf"], spark)
+    rows = spark.read.option("header", True).csv(at("results")).collect()
+    assert len(rows) == 4 and all(float(r["ndcg_10"]) == 1.0 for r in rows if r["mode"] == "bm25")
+    headline, by_encoder = cli.summarise(spark, at("results"))
+    assert headline.count() == 4 and headline.filter("p95_ms = 0").count() == 4 and by_encoder.count() == 2
+    with pytest.raises(ValueError):
+        cli.capped((5, 9), 4)
