@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seekspark.llm import simhash_golay
-from tests.llm.test_operators import plain_components, plain_line_dedup, toxic_corpus
+from tests.llm.test_operators import docs_of, odd_rows, plain_components, plain_line_dedup, toxic_corpus
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +46,28 @@ def test_stages_against_plain(spark, small):
 def test_run_is_the_stages(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_odd_rows_and_columns(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns; then an empty table."""
+    names = ["toxic", "p_toxic", "kept_text", "n_lines", "of", "gone", "c", "fp", "size", "taken", "times", "piece", "start", "offset", "sequence_id", "group"]
+    odd = odd_rows(spark).withColumns({n: F.lit("x") for n in names})
+    more = docs_of(spark, [f"a clean text number {i} that stays as it is {i * i}" for i in range(30)]).withColumn("doc_id", F.col("doc_id") + 100)
+    for name, docs in (("odd", odd.unionByName(more, allowMissingColumns=True)), ("none", odd.limit(0))):
+        path = str(tmp_path / name)
+        docs.write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(100 + i, 1, 0) for i in range(20)] + [(None, 1, 1), (2, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        kept = docs
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            kept = f(spark, kept, path)
+            assert kept.columns == docs.columns, stage
+        out = corpus_pipeline.run(spark, path).toPandas()
+        if name == "none":
+            assert not len(out)
+            continue
+        # Clean documents go on; of the copies 3 and 4 one is left, and the row without an id stays.
+        ids = set(out.doc_id.dropna())
+        assert 2 in ids and len(ids & {3, 4}) == 1 and len(ids & set(range(100, 130))) >= 20 and out.doc_id.isna().any()
+        for _, s in out.groupby("sequence_id"):
+            s = s.sort_values("offset")
+            assert list(s.offset) == list(s.length.cumsum() - s.length) and s.length.sum() <= 1024
