@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 import public_tokenizers
@@ -9,19 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekspark.llm import line_runs, mixing, near_dedup, packing, toxicity
-from seekspark.llm.common import settled
+from seekspark.llm.common import free_names, settled
+
+
+def aside(docs: DataFrame, added: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` of ``docs``, with the same columns: those named like what an operator adds wait under other names."""
+    clashing = [c for c in docs.columns if c.lower() in added]
+    other = dict(zip(clashing, free_names(docs, *clashing)))
+    out = stage(docs.withColumnsRenamed(other))
+    return out.select(*[F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity chain rejects go. It learns from the labelled documents that there are."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.toxicity(docs, labels).filter("toxic = 0").select(*docs.columns)
+    added = ("p_low_quality", "p_toxic", "toxic")
+    return aside(docs, added, lambda d: toxicity.toxicity(d, labels).filter("toxic = 0"))
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents hold stay in the last one only."""
-    kept = line_runs.dedup_lines(docs, min_chars=40, min_docs=5).drop("text").withColumnRenamed("kept_text", "text")
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+    def kept(d: DataFrame) -> DataFrame:
+        cut = line_runs.dedup_lines(d, min_chars=40, min_docs=5).drop("text").withColumnRenamed("kept_text", "text")
+        return cut.withColumn("n_chars", F.length("text").cast("long"))
+
+    return aside(docs, ("kept_text", "n_lines", "n_dropped"), kept)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
