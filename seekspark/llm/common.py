@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from bisect import bisect_left
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -173,3 +173,27 @@ def apart(spans: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -
         ends.append(reach)
     # Of the base spans that begin before a span's end, none may end after its start.
     return [s for s in spans if (i := bisect_left(starts, s[2])) == 0 or ends[i - 1] <= s[1]]
+
+
+def trimmed(run: Callable) -> Callable:
+    """``run``, a function of batches in a Python worker, which gives freed memory back when it ends: workers wait for
+    later tasks, beside which they would keep the most that they ever held."""
+
+    def own(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return own
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)

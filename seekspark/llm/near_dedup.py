@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekspark.llm import bytehash, fingerprints
-from seekspark.llm.common import pin, settled, shuffle_partitions, skew_join
+from seekspark.llm.common import pin, settled, shuffle_partitions, skew_join, trimmed
 from seekspark.llm.components import components
 from seekspark.llm.simhash_golay import keep_firsts, near_links
 
@@ -84,7 +84,7 @@ def summarised(docs: DataFrame, shingle: int) -> DataFrame:
                 made = [pa.array(np.array(c, np.uint64).view(np.int64)), pa.array(fp, pa.int64()), pa.array(sig, pa.binary()), pa.array(own, pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(0), *made], ["doc_id", "c", "fp", "sig", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, c long, fp long, sig binary, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, c long, fp long, sig binary, shingles binary")
 
 
 def _places(column: pa.Array) -> np.ndarray:
@@ -161,7 +161,7 @@ def _pairs(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
 
 def _by_key(rows: DataFrame, run: Callable) -> DataFrame:
     parts = shuffle_partitions(rows.sparkSession)
-    return rows.repartition(parts, "k").sortWithinPartitions("k", "c").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return rows.repartition(parts, "k").sortWithinPartitions("k", "c").mapInArrow(trimmed(run), "a long, b long").filter("a <> b").distinct()
 
 
 def verified(pairs: DataFrame, own: DataFrame, least: float) -> DataFrame:
@@ -183,7 +183,7 @@ def verified(pairs: DataFrame, own: DataFrame, least: float) -> DataFrame:
 
     left = sets.select(F.col("c").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("c").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long")
 
 
 def simhash_pairs(classes: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def simhash_pairs(classes: DataFrame) -> DataFrame:
 def similar_links(own: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """(a, b) links that connect all classes (c, fp, sig) of similarity ``least`` or more, each verified."""
     agree = least - EASY
-    rows = classes.filter(F.length("sig") > 0).select("c", "sig").mapInArrow(_keyed, "k long, c long, places binary")
+    rows = classes.filter(F.length("sig") > 0).select("c", "sig").mapInArrow(trimmed(_keyed), "k long, c long, places binary")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, c, places in _runs(batches):

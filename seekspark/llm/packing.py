@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seekspark.llm.common import free_names, pin, without
+from seekspark.llm.common import free_names, pin, trimmed, without
 
 #: Documents whose pieces are packed together (on average).
 GROUP = 8192
@@ -120,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, text: str =
                 own = [pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *own], [f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def pack(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekspark.llm import golay
-from seekspark.llm.common import pin, settled, shuffle_partitions, skew_join, without
+from seekspark.llm.common import pin, settled, shuffle_partitions, skew_join, trimmed, without
 from seekspark.llm.components import components
 
 #: (shift, bits) of the three segments.
@@ -63,7 +63,7 @@ def simhash(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFrame:
             fp = fingerprints_of(b.column(b.schema.get_field_index(text)).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], [*b.schema.names, "fp"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +175,7 @@ def near_links(fps: DataFrame, bits: int) -> DataFrame:
                 k, of = golay_keys(own)
                 yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(own[of].view(np.int64))], ["k", "fp"])
 
-    rows = fps.select("fp").mapInArrow(keyed, "k int, fp long")
+    rows = fps.select("fp").mapInArrow(trimmed(keyed), "k int, fp long")
     # A key with more than BLOCK fingerprints is cut into blocks, and every two of its blocks meet in a task.
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     large = pin(rows.groupBy("k").count().filter(F.col("count") > BLOCK).select("k", blocks.alias("blocks")))
@@ -184,7 +184,7 @@ def near_links(fps: DataFrame, bits: int) -> DataFrame:
         (rows.join(large, "k", "left_anti") if some else rows)
         .repartition(parts, "k")
         .sortWithinPartitions("k", "fp")
-        .mapInArrow(lambda batches: _links(batches, bits), "a long, b long")
+        .mapInArrow(trimmed(lambda batches: _links(batches, bits)), "a long, b long")
     )
     if some:
         links = links.unionByName(_block_links(rows.join(large, "k"), bits))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seekspark.llm import bytehash
-from seekspark.llm.common import pin, union_all, without
+from seekspark.llm.common import pin, trimmed, union_all, without
 
 #: Labelled rows that the models are fitted on, at most; features of a category, at most; folds.
 SAMPLE, FEATURES, FOLDS = 8000, 1024, 4
@@ -163,8 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sampl
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                s = b.slice(at, 512)
+            for at in range(0, b.num_rows, 128):
+                s = b.slice(at, 128)
                 h, of, style = features([t or "" for t in s.column(1).to_pylist()])
                 order = np.lexsort((h, of))
                 h, of = h[order], of[order]
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sampl
                 yield pa.RecordBatch.from_arrays([*cells, *marks], ["doc_id", "found", "style", "fold", *names])
 
     schema = "doc_id long, found binary, style array<double>, fold int, " + ", ".join(f"`{n}` double" for n in names)
-    table = pin(rows.select("doc_id", "text", fold.alias("fold"), *names).mapInArrow(opened, schema))
+    table = pin(rows.select("doc_id", "text", fold.alias("fold"), *names).mapInArrow(trimmed(opened), schema))
     base = {r["fold"]: r for r in table.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(n).alias(n) for n in names]).collect()}
     if not base:
         return Chain([Link(n, np.zeros(0, np.uint64), np.zeros(0), np.zeros(STYLE + j), -30.0) for j, n in enumerate(names)])
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sampl
 
     kinds = "h long, fold int, n double, " + ", ".join(f"`{n}` double" for n in names)
     cells = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0.0)).alias(f"{c}_{f}") for c in ["n", *names] for f in range(FOLDS)]
-    counts = table.mapInPandas(counted, kinds).groupBy("h").agg(F.sum("n").alias("n"), *cells)
+    counts = table.mapInPandas(trimmed(counted), kinds).groupBy("h").agg(F.sum("n").alias("n"), *cells)
     counts = pin(counts.filter(F.col("n") >= LEAST_ROWS))
 
     def best(name: str, left_out: int | None) -> DataFrame:
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sampl
             own = [np.flatnonzero(np.isin(every, np.frombuffer(f, np.uint64))).astype(np.int32).tobytes() for f in b["found"]]
             yield b.drop(columns="found").assign(found=own)
 
-    got = table.mapInPandas(narrowed, "doc_id long, style array<double>, fold int, " + ", ".join(f"`{n}` double" for n in names) + ", found binary")
+    got = table.mapInPandas(trimmed(narrowed), "doc_id long, style array<double>, fold int, " + ", ".join(f"`{n}` double" for n in names) + ", found binary")
     return _fit_chain(got.orderBy("doc_id").toPandas(), names, chosen, every)
 
 
@@ -276,13 +276,13 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 128):
+                b = whole.slice(at, 128)
                 p = own.probabilities([t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()])
                 cells = [pa.array(np.ascontiguousarray(p[:, j])) for j in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*b.columns, *cells], [*b.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def labelled_chain(docs: DataFrame, labels: DataFrame) -> Chain:
