@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seekspark.llm import bytehash
-from seekspark.llm.common import pin, settled, shuffle_partitions, without
+from seekspark.llm.common import shuffle_partitions, without
 
 #: Hashes of a sketch, and words of a shingle.
 K, SHINGLE = 128, 5
@@ -225,7 +225,8 @@ def edited_likeness(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> Data
     cuts = [int(x) for x in rows.approxQuantile("doc_id", at, 0.1 / parts)]
     n = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
     nulls = -(-(n["n"] - n["ids"]) * parts // max(n["n"], 1))
-    return settled(docs.sparkSession, lambda: _edited_by_part(rows, cuts, nulls, k, shingle))
+    # Not as a scratch table, which would hold all sketches on disk beside the shuffled texts.
+    return _edited_by_part(rows, cuts, nulls, k, shingle)
 
 
 def _parts(ids: pd.Series, hashes: pd.Series, cuts: list[int], nulls: int) -> pd.Series:

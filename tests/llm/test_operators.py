@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from seekspark.llm import fingerprints, golay, line_runs, mixing, multiprobe, packing, pii, secrets, sharding, simhash_golay, toxicity
@@ -125,6 +126,14 @@ def test_edited_likeness(spark):
     assert one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
 
 
+def test_edited_likeness_keeps_no_table(spark, monkeypatch):
+    """The sketches are the result; a table of them beside the shuffled texts took the disk that the check allows."""
+    written = []
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: written.append(path))
+    got = fingerprints.edited_likeness(docs_of(spark, [" ".join(words(50, i)) for i in range(20)]))
+    assert not written and got.count() == 20
+
+
 def plain_sketch(text, k=fingerprints.K, n=fingerprints.SHINGLE):
     """The k smallest hashes of the text's different shingles, hashed one by one."""
     w = (text or "").encode().lower().split()
