@@ -7,7 +7,10 @@ crossed. Candidates of all tables are merged and ranked by the exact measure.
 
 Vectors get one more component that makes all lengths equal, so the nearest by distance is the one of the largest
 inner product. Rows are split into bands by length, each with a common length of its own: a few long vectors would
-crowd all others into the same buckets.
+crowd all others into the same buckets. A query's buckets are the same for all bands, so bands share buckets.
+
+Whether a row and a query meet depends on the two alone, not on how many others there are: one index for all sizes.
+A query that has found too few goes on with half the hashes, and again, until no hash is left and all rows meet it.
 
 Every row goes once to its bucket of each table, and every query to the buckets that it probes; they meet there, in
 tiles of bounded size, so no work is done for buckets that no query probes. Rows with equal vectors are one class
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -30,12 +33,10 @@ from pyspark.sql.window import Window
 
 from seekspark.llm.common import pin, settled, skew_join
 
-#: Ratio of the longest to the shortest length of a band, and rows up to which a band's are all candidates.
-BAND, SMALL_BAND = 1.05, 32
+#: Ratio of the longest to the shortest length of a band.
+BAND = 1.05
 #: Rows and queries of a tile, and queries that are scored at a time.
 ROWS, QUERIES, SCORED = 8192, 4096, 128
-#: Rows that the least number of hashes is for.
-LEAST = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -45,14 +46,12 @@ class Index:
     tables: int = 6
     hashes: int = 4
     width: float = 1.8
-    probes: int = 10
+    probes: int = 12
     seed: int = 7
 
-    @classmethod
-    def sized(cls, rows: int) -> "Index":
-        """For each doubling of the rows one hash more, which halves a bucket or better, and 1.4 times the probes."""
-        more = int(np.log2(1 + rows / LEAST))
-        return cls(hashes=4 + more, probes=int(10 * 2 ** (more / 2)))
+    def coarser(self) -> "Index":
+        """Half the hashes. Without any, all rows have one bucket, for which one table does."""
+        return replace(self, hashes=self.hashes // 2, tables=self.tables if self.hashes > 1 else 1)
 
     def drawn(self, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The projections and shifts of all tables, and odd numbers that make one number of a table's cells."""
@@ -90,7 +89,7 @@ def perturbations(hashes: int, probes: int) -> list[tuple[int, ...]]:
     expected = [j * (j + 1) / (4 * (n + 1) * (n + 2)) for j in range(1, n + 1)]
     expected += [1 - (2 * n + 1 - j) / (n + 1) + (2 * n + 1 - j) * (2 * n + 2 - j) / (4 * (n + 1) * (n + 2)) for j in range(n + 1, 2 * n + 1)]
     out: list[tuple[int, ...]] = [()]
-    heap = [(expected[0], (0,))]
+    heap = [(expected[0], (0,))] if n else []
     while heap and len(out) < probes:
         score, own = heapq.heappop(heap)
         if not any(2 * n - 1 - j in own for j in own):
@@ -120,15 +119,18 @@ def _bands(x: np.ndarray) -> np.ndarray:
     return np.floor((np.log(scale) + np.log(np.linalg.norm(x / scale[:, None], axis=1))) / np.log(BAND) + 0.5).astype(np.int64)
 
 
-def _sent(batch: pa.RecordBatch, of: np.ndarray, band: np.ndarray, table: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+def _sent(batch: pa.RecordBatch, of: np.ndarray, table: int, bucket: np.ndarray) -> pa.RecordBatch:
     rows = batch.take(pa.array(of))
-    more = [pa.array(band), pa.array(table.astype(np.int32)), pa.array(bucket)]
-    return pa.RecordBatch.from_arrays([*rows.columns, *more], [*rows.schema.names, "band", "t", "bucket"])
+    more = [pa.array(np.full(len(of), table, np.int32)), pa.array(bucket)]
+    return pa.RecordBatch.from_arrays([*rows.columns, *more], [*rows.schema.names, "t", "bucket"])
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    scale = np.abs(x).max(axis=1)
+    return scale * np.linalg.norm(x / scale[:, None], axis=1)
 
 
-#: The band of all rows that are in small bands, which have one bucket.
-FEW = 1 << 40
-KEYED = "band long, t int, bucket long"
+KEYED = "t int, bucket long"
 
 
 def best_of_tile(x: np.ndarray, ids: list, q: np.ndarray, own: list, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,13 +138,15 @@ def best_of_tile(x: np.ndarray, ids: list, q: np.ndarray, own: list, keep: int)
     size = np.array([len(i) for i in ids])
     flat, first = np.concatenate([np.asarray(i, np.int64) for i in ids]), np.cumsum(size) - size
     got: list[tuple[np.ndarray, ...]] = []
+    # What rounding may change in a product, for each row and query: their lengths may differ by much.
+    off = 4 * np.finfo(float).eps * x.shape[1] * _lengths(x)
     for at in range(0, len(q), SCORED):
         part = q[at : at + SCORED]
-        s = part @ x.T
+        s, error = part @ x.T, np.outer(_lengths(part), off)
         m = min(keep + 1, len(x))
-        least = np.partition(s, len(x) - m, axis=1)[:, len(x) - m]
+        least = np.partition(s - error, len(x) - m, axis=1)[:, len(x) - m]
         # Whatever may be among the best, then its exact score, whose value does not depend on the tile.
-        qi, ri = np.nonzero(s >= (least - 1e-9 * np.maximum(1.0, np.abs(least)))[:, None])
+        qi, ri = np.nonzero(~(s + error < least[:, None]))
         exact = (x[ri] * part[qi]).sum(axis=1)
         n = size[ri]
         place = np.repeat(first[ri] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -172,7 +176,7 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
 
 CLASS = ["h1", "h2"]
 ASKED = ["h1", "h2", "own"]
-PLACE = ["dim", "band", "t", "bucket"]
+PLACE = ["dim", "t", "bucket"]
 FOUND = "h1 long, h2 long, own long, vec_id long, score double"
 
 
@@ -204,6 +208,30 @@ def _met(rows: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(tile, FOUND)
 
 
+def _probed(classes: DataFrame, asked: DataFrame, index: Index, keep: int) -> DataFrame:
+    """FOUND of the rows in the buckets that each query probes."""
+
+    def rows_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for own, x in _by_dim(b, 2):
+                y = x / (BAND ** (_bands(x) + 0.5))[:, None]
+                y = np.column_stack((y, np.sqrt(np.maximum(0.0, 1.0 - (y * y).sum(axis=1)))))
+                for t, keys in enumerate(index.buckets(y)):
+                    yield _sent(b, own, t, keys)
+
+    def asked_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for own, x in _by_dim(b, 3):
+                x = x / np.abs(x).max(axis=1)[:, None]
+                y = np.column_stack((x / np.linalg.norm(x, axis=1)[:, None], np.zeros(len(x))))
+                for t, keys in enumerate(index.probed(y)):
+                    yield _sent(b, np.repeat(own, keys.shape[1]), t, keys.ravel())
+
+    keyed = classes.select(*CLASS, "v", "ids", "dim").mapInArrow(rows_keyed, f"h1 long, h2 long, v array<double>, ids array<long>, dim int, {KEYED}")
+    probes = asked.select(*ASKED, "v", "dim").mapInArrow(asked_keyed, f"h1 long, h2 long, own long, v array<double>, dim int, {KEYED}")
+    return _met(pin(keyed), pin(probes), keep)
+
+
 def _searched(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, index: Index | None) -> DataFrame:
     spark = vectors.sparkSession
     empty = "query_id long, rank int, vec_id long, score double"
@@ -212,67 +240,25 @@ def _searched(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vecto
     w = Window.partitionBy(*CLASS).orderBy("id")
     few = rows.groupBy(*CLASS, "id").agg(F.first("v").alias("v")).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep)
     classes = pin(few.groupBy(*CLASS).agg(F.first("v").alias("v"), F.array_sort(F.collect_list("id")).alias("ids")).withColumn("dim", F.size("v")))
-    n = classes.count()
     # An id with several vectors is asked for on its own, without all of them.
     several = rows.groupBy("id").agg(F.count_distinct(*CLASS).alias("_n")).filter("_n > 1").select("id", F.col("id").alias("own"))
     ids = pin(usable(queries, id_col, vector).join(several, "id", "left").select(F.col("id").alias("query_id"), *ASKED, "v"))
     asked = pin(ids.groupBy(*ASKED).agg(F.first("v").alias("v")).withColumn("dim", F.size("v")))
-    if not n or asked.isEmpty():
+    if classes.isEmpty() or asked.isEmpty():
         return spark.createDataFrame([], empty)
-    index = index or Index.sized(n)
-
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for own, x in _by_dim(b, 0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), x.shape[1], np.int32)), pa.array(_bands(x))], ["dim", "band"])
-
-    counts = classes.select("v").mapInArrow(banded, "dim int, band long").groupBy("dim", "band").count().collect()
-    large: dict[int, list[int]] = {}
-    for r in counts:
-        if r["count"] > SMALL_BAND:
-            large.setdefault(r["dim"], []).append(r["band"])
-    small = {r["dim"] for r in counts if r["count"] <= SMALL_BAND}
-
-    def rows_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for own, x in _by_dim(b, 2):
-                band = _bands(x)
-                m = np.isin(band, large.get(x.shape[1], []))
-                zero = np.zeros((~m).sum(), np.int64)
-                yield _sent(b, own[~m], zero + FEW, zero, zero)
-                own, x, band = own[m], x[m], band[m]
-                if len(own):
-                    y = x / (BAND ** (band + 0.5))[:, None]
-                    y = np.column_stack((y, np.sqrt(np.maximum(0.0, 1.0 - (y * y).sum(axis=1)))))
-                    keys = index.buckets(y)
-                    for t in range(index.tables):
-                        yield _sent(b, own, band, np.full(len(own), t), keys[t])
-
-    def asked_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for own, x in _by_dim(b, 3):
-                if x.shape[1] in small:
-                    zero = np.zeros(len(own), np.int64)
-                    yield _sent(b, own, zero + FEW, zero, zero)
-                if x.shape[1] in large:
-                    x = x / np.abs(x).max(axis=1)[:, None]
-                    y = np.column_stack((x / np.linalg.norm(x, axis=1)[:, None], np.zeros(len(x))))
-                    keys = index.probed(y)
-                    for band in large[x.shape[1]]:
-                        for t in range(index.tables):
-                            of = np.repeat(own, keys.shape[2])
-                            yield _sent(b, of, np.full(len(of), band), np.full(len(of), t), keys[t].ravel())
-
-    keyed = pin(classes.select(*CLASS, "v", "ids", "dim").mapInArrow(rows_keyed, f"h1 long, h2 long, v array<double>, ids array<long>, dim int, {KEYED}"))
-    probes = pin(asked.select(*ASKED, "v", "dim").mapInArrow(asked_keyed, f"h1 long, h2 long, own long, v array<double>, dim int, {KEYED}"))
-    found = pin(_best(_met(keyed, probes, keep), keep))
-    # A query that found too few meets all rows of its dimension.
-    lacking = found.filter(F.size("best") < keep).select(*ASKED).unionByName(asked.join(found, _same(asked, found), "left_anti").select(*ASKED))
-    lacking = pin(asked.join(lacking.distinct().select(*[F.col(c).alias(f"_{c}") for c in ASKED]), _same_named(), "left_semi"))
-    if not lacking.isEmpty():
-        one = {"band": F.lit(0).cast("long"), "t": F.lit(0), "bucket": F.lit(0).cast("long")}
-        more = pin(_best(_met(pin(classes.withColumns(one)), pin(lacking.withColumns(one)), keep), keep))
-        found = pin(found.join(more, _same(found, more), "left_anti").unionByName(more))
+    index = index or Index()
+    found = pin(_best(_probed(classes, asked, index, keep), keep))
+    while index.hashes:
+        # A query that found too few goes on with larger buckets.
+        enough = found.filter(F.size("best") >= keep)
+        lacking = pin(asked.join(enough, _same(asked, enough), "left_anti"))
+        if lacking.isEmpty():
+            break
+        index = index.coarser()
+        before = found.filter(F.size("best") < keep).select(*ASKED, F.inline("best"))
+        own = classes.join(F.broadcast(lacking.select("dim").distinct()), "dim", "left_semi")
+        more = pin(_best(_probed(own, lacking, index, keep).unionByName(before), keep))
+        found = pin(enough.unionByName(more))
     each = skew_join(ids.select("query_id", *CLASS, F.coalesce("own", F.lit(-(2**63))).alias("own")).distinct(), found.withColumn("own", F.coalesce("own", F.lit(-(2**63)))), ASKED, "inner")
     best = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
     out = each.select("query_id", *CLASS, F.posexplode(best).alias("rank", "b"))
@@ -284,10 +270,6 @@ def _same(a: DataFrame, b: DataFrame):
     return [a[c].eqNullSafe(b[c]) for c in ASKED]
 
 
-def _same_named():
-    return [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ASKED]
-
-
 def _best(found: DataFrame, keep: int) -> DataFrame:
     """(h1, h2, own, best): the ``keep`` best different rows of each query, nearest first, in one array."""
     w = Window.partitionBy(*ASKED).orderBy(F.desc("score"), "vec_id")
@@ -302,10 +284,11 @@ def nearest(
     """(query_id, rank, vec_id, score): the k largest inner products found for each query among all rows but its own.
 
     Ties go to the smaller id. Fewer come out only if there are fewer candidates: a query whose buckets hold too
-    few meets all rows. Vectors that are null, zero or hold null or non-finite components take no part; nor do rows
-    without an id. Vectors meet only those of their own number of components. Rows that repeat an id and vector
-    count once; several vectors of one id are one candidate each. Only the id and the vector are read, whatever
-    other columns there are. No rows or no queries give no rows. ``index``: by default sized by the rows.
+    few goes on with larger ones, the last of which holds all rows. Vectors that are null, zero or hold null or
+    non-finite components take no part; nor do rows without an id. Vectors meet only those of their own number of
+    components. Rows that repeat an id and vector count once; several vectors of one id are one candidate each. Only
+    the id and the vector are read, whatever other columns there are. No rows or no queries give no rows. ``index``:
+    by default the same for tables of any size.
 
     All rows are indexed. A hot bucket is cut into tiles, so a task's memory is bounded; near but unequal vectors
     that crowd a bucket meet all queries that probe it.

@@ -78,3 +78,48 @@ def test_an_id_with_several_vectors(spark):
     rows = table(spark, [[1, 0], [0, 1], [1, 1], [2, 1]], [7, 7, 8, 9])
     got = multiprobe.nearest(rows, rows.filter("vec_id = 7"), k=2).collect()
     assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 8, 1.0), (1, 9, 2.0), (2, 8, 1.0), (2, 9, 1.0)]
+
+
+def test_rows_meet_alike_in_a_table_of_any_size(spark):
+    """32 rows of a length, then 8 more of it that cannot be among the best: the same are found. (32 were once compared in full.)"""
+    r = np.random.default_rng(6)
+    x = np.zeros((40, 64))
+    x[:32, :32], x[32:, 32:] = r.standard_normal((32, 32)), r.standard_normal((8, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[32:] = np.where(x[32:], -np.abs(x[32:]), 0.0)
+    index = multiprobe.Index(tables=2, hashes=4, probes=6)
+    few, more = table(spark, x[:32]), table(spark, x)
+    found = [{tuple(g) for g in multiprobe.nearest(t, few, k=2, index=index).collect()} for t in (few, more)]
+    assert found[0] == found[1]
+    whole = {(q, i + 1, j) for q in range(32) for i, (j, _) in enumerate(plain(x[:32], np.arange(32), x[q], q, 2))}
+    assert {g[:3] for g in found[0]} != whole  # by hashing, which misses some
+
+
+def test_one_index_for_any_size(spark):
+    """Beyond 131,072 rows the index once had more hashes, which found other rows, fewer of them the nearest."""
+    rows = spark.range(140_000, numPartitions=4).select(F.col("id").alias("vec_id"), F.array(*[F.randn(i) for i in range(16)]).alias("embedding"))
+    asked = rows.filter("vec_id % 7000 = 0")
+    got, fixed = (multiprobe.nearest(rows, asked, k=20, index=i).toPandas() for i in (None, multiprobe.Index()))
+    assert set(got.itertuples(index=False, name=None)) == set(fixed.itertuples(index=False, name=None))
+    x = np.stack(rows.orderBy("vec_id").toPandas()["embedding"].to_numpy())
+    hit = sum(len(set(own.vec_id) & {j for j in np.argsort(-(x @ x[q]))[:21] if j != q}) for q, own in got.groupby("query_id"))
+    assert len(got) == 400 and hit >= 0.9 * 400
+
+
+def test_too_few_found_go_on_probing(spark):
+    """Narrow buckets hold almost nothing; every query still gets its k, the nearest, and no more than there are."""
+    x = np.random.default_rng(8).standard_normal((50, 12))
+    rows = table(spark, x)
+    got = multiprobe.nearest(rows, rows, k=49, index=multiprobe.Index(tables=2, hashes=6, width=0.05, probes=3)).toPandas()
+    for q, own in got.groupby("query_id"):
+        assert [*own.sort_values("rank").vec_id] == [j for j, _ in plain(x, np.arange(50), x[q], q, 49)]
+    assert len(got) == 50 * 49
+
+
+def test_lengths_of_a_tile_may_differ_by_much():
+    r = np.random.default_rng(9)
+    x = r.standard_normal((400, 16)) * 10.0 ** r.integers(-9, 9, (400, 1))
+    q = r.standard_normal((5, 16)) * 1e-6
+    qi, found, score = multiprobe.best_of_tile(x, [[i] for i in range(400)], q, [None] * 5, 30)
+    for j in range(5):
+        assert list(zip(found[qi == j], score[qi == j])) == plain(x, np.arange(400), q[j], None, 30)
