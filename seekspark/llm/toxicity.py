@@ -127,7 +127,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 2e-4, rounds: int = 250) -> tuple[np.ndarray, float]:
     """Weights and bias, by accelerated gradient steps on the mean log loss with an L2 penalty."""
-    x = np.column_stack((x, np.ones(len(x), x.dtype)))
+    return _fit_with_ones(np.column_stack((x, np.ones(len(x), x.dtype))), y, l2, rounds)
+
+
+def _fit_with_ones(x: np.ndarray, y: np.ndarray, l2: float = 2e-4, rounds: int = 250) -> tuple[np.ndarray, float]:
+    """``fit_logistic`` of ``x`` whose last column is ones."""
     # The largest eigenvalue bounds the curvature.
     v = np.ones(x.shape[1], x.dtype)
     for _ in range(12):
@@ -230,13 +234,18 @@ def _fit_chain(data: pd.DataFrame, names: list[str], chosen: dict[tuple[str, int
     style, fold = np.stack(data["style"].to_numpy()), data["fold"].to_numpy()
     chain, earlier = Chain(), np.zeros((len(data), 0))
 
-    def matrix(known: np.ndarray) -> np.ndarray:
-        place = np.full(len(every), -1)
+    def matrix(known: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Features, style, earlier log-odds and ones of the rows; filled in place, since copies of it fill the driver."""
+        place, at = np.full(len(every), -1), np.full(len(data), -1)
         place[np.searchsorted(every, known)] = np.arange(len(known))
-        x = np.zeros((len(data), len(known)), np.float32)
-        m = place[flat] >= 0
-        x[of[m], place[flat[m]]] = 1
-        return np.column_stack((x, style, earlier)).astype(np.float32)
+        at[rows] = np.arange(len(rows))
+        x = np.zeros((len(rows), len(known) + STYLE + earlier.shape[1] + 1), np.float32)
+        m = (place[flat] >= 0) & (at[of] >= 0)
+        x[at[of[m]], place[flat[m]]] = 1
+        x[:, len(known) : len(known) + STYLE] = style[rows]
+        x[:, len(known) + STYLE : -1] = earlier[rows]
+        x[:, -1] = 1
+        return x
 
     for name in names:
         y = data[name].to_numpy()
@@ -250,12 +259,11 @@ def _fit_chain(data: pd.DataFrame, names: list[str], chosen: dict[tuple[str, int
             for f in range(FOLDS):
                 rest, out = fold != f, fold == f
                 if rest.any() and out.any() and 0 < y[rest].mean() < 1:
-                    x = matrix(chosen[name, f])
-                    w, b = fit_logistic(x[rest], y[rest])
-                    z[out] = x[out] @ w + b
+                    w, b = _fit_with_ones(matrix(chosen[name, f], np.flatnonzero(rest)), y[rest])
+                    z[out] = matrix(chosen[name, f], np.flatnonzero(out))[:, :-1] @ w + b
                 else:
                     z[out] = np.log(rate / (1 - rate))
-            w, b = fit_logistic(matrix(known), y)
+            w, b = _fit_with_ones(matrix(known, np.arange(len(data))), y)
             chain.links.append(Link(name, known, w[: len(known)], w[len(known) :], b))
         chain.held_out[name] = (_sigmoid(z), y)
         earlier = np.column_stack((earlier, np.clip(z, -6, 6) / 6))

@@ -3,10 +3,12 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -512,6 +514,26 @@ def test_toxicity_threshold():
     assert toxicity.Chain().threshold("toxic") == 0.5
 
 
+def test_toxicity_fit_holds_one_matrix():
+    r, n = np.random.default_rng(3), 2000
+    every = np.sort(r.integers(0, 1 << 63, toxicity.FEATURES).astype(np.uint64))
+    found = [np.flatnonzero(r.random(len(every)) < 0.02).astype(np.int32).tobytes() for _ in range(n)]
+    y = (r.random(n) < 0.3).astype(float)
+    data = pd.DataFrame({"style": list(r.random((n, toxicity.STYLE))), "fold": r.integers(0, toxicity.FOLDS, n), "toxic": y, "found": found})
+    chosen = {("toxic", f): every for f in range(-1, toxicity.FOLDS)}
+    tracemalloc.start()
+    chain = toxicity._fit_chain(data, ["toxic"], chosen, every)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2.5 * 4 * n * len(every)
+    # As with a matrix of all rows, to which fit_logistic adds the ones.
+    x = np.zeros((n, len(every)), np.float32)
+    for i, own in enumerate(found):
+        x[i, np.frombuffer(own, np.int32)] = 1
+    w, b = toxicity.fit_logistic(np.column_stack((x, np.stack(data["style"]))).astype(np.float32), y)
+    assert np.allclose(np.append(chain.links[0].weights, chain.links[0].rest), w, atol=1e-5) and abs(chain.links[0].bias - b) < 1e-5
+
+
 def test_toxicity_is_out_of_fold(spark):
     """With labels that mean nothing, held-out probabilities tell nothing."""
     r = random.Random(8)
